@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from twinsift.llm import quality, urls
+from twinsift.llm import linedup, mixing, neardup, packing, quality, substrings, urls
 
-_MODULES = (quality, urls)
+_MODULES = (substrings, mixing, neardup, linedup, packing, quality, urls)
 
 
 def queries() -> dict:
