@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from twinsift.llm import linedup, mixing, neardup, packing, quality, substrings, urls
+from twinsift.llm import language, linedup, mixing, neardup, packing, quality, substrings, toolcalls, topk, urls
 
-_MODULES = (substrings, mixing, neardup, linedup, packing, quality, urls)
+_MODULES = (substrings, mixing, toolcalls, neardup, linedup, language, topk, packing, quality, urls)
 
 
 def queries() -> dict:
