@@ -17,6 +17,7 @@ from twinsift import encode, sinks
 from twinsift.functions.vectors import as_double
 from twinsift.operators import captions, catalog, grouping, keep, reports, simjoin
 from twinsift.sources import headers, listing
+from twinsift.storage import cut
 
 MODEL = "stand-in"
 
@@ -87,13 +88,15 @@ def _moved(plan: DataFrame, root: str, dry_run: bool) -> None:
 
 def dedupe(spark: SparkSession, a: argparse.Namespace) -> int:
     manifest, rows = _store(spark, a, "base")
-    pairs = simjoin.self_join(rows, a.threshold).persist()
-    grouped = grouping.groups(pairs)
+    # written, because files are about to move
+    rows = cut(rows)
+    pairs = cut(simjoin.self_join(rows, a.threshold))
+    grouped = cut(grouping.groups(pairs))
     _told(pairs.join(grouped.where("pos = 0").select(F.col("leader").alias("i")), "i", "left_semi"), rows, rows)
     if a.trash_dir:
         described = headers.headers(listing.manifest(spark, a.base_images, True)).drop("_error")
         files = rows.select("idx", "rel_path").join(manifest, "rel_path").join(described, "rel_path", "left").withColumnRenamed("mtime_ns", "mtime")
-        plan = keep.live_decisions(grouped, files, a.keeping_logic, os.path.abspath(a.trash_dir))
+        plan = cut(keep.live_decisions(grouped, files, a.keeping_logic, os.path.abspath(a.trash_dir)))
         _moved(plan, a.base_images, a.dry_run)
     s = reports.dedupe_summary(rows, grouped).first()
     print(f"Processed {s.processed} images, {s.duplicates} duplicates." + " (dry run)" * a.dry_run)
@@ -103,7 +106,8 @@ def dedupe(spark: SparkSession, a: argparse.Namespace) -> int:
 def import_dedupe(spark: SparkSession, a: argparse.Namespace) -> int:
     _, base = _store(spark, a, "base")
     _, incoming = _store(spark, a, "import")
-    pairs = simjoin.cross_set_join(incoming, base, a.threshold).persist()
+    base, incoming = cut(base), cut(incoming)
+    pairs = cut(simjoin.cross_set_join(incoming, base, a.threshold))
     _told(pairs, incoming, base)
     if a.trash_dir:
         trash = os.path.abspath(a.trash_dir)
