@@ -40,7 +40,7 @@ RULES = (
     ("word_length", "word_chars", "n_words", 1.5, 25),
     ("symbols", "n_symbols", "n_words", None, 0.25),
     ("stop_words", "n_stop_words", "n_words", 0.01, None),
-    ("duplicate_lines", "n_dup_lines", "n_lines", None, 0.3),
+    ("duplicate_lines", "n_dup_lines", "n_lines", None, 0.5),
     ("bullet_lines", "n_bullet_lines", "n_lines", None, 0.9),
     ("ellipsis_lines", "n_ellipsis_lines", "n_lines", None, 0.3),
 )
