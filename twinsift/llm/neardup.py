@@ -4,12 +4,12 @@ One pass over the texts gives each document BANDS * ROWS minima over its word sh
 full minima; of every minimum the BITS low bits are kept and packed, 80 bytes a document. Documents of equal word
 sequences form classes first, and only a class's smallest id goes on. Ids that share a band key are candidates;
 packed signatures give each candidate a similarity, corrected for low bits that agree by chance, and what lies
-SLACK below the threshold (more than six standard errors) is left. Links are confirmed on full shingle sets.
+SLACK below the threshold (4.5 standard errors: a chance of 3e-6, as for the bands) is left. Links are confirmed on full shingle sets.
 
 A bucket is not expanded into pairs. Each member is held against its buckets' smallest ids, best estimate first;
 then, in buckets whose members are still in different components, members outside the largest component are held
-against the other components, in growing numbers until no candidate between two components is untested. So the
-components are those of all confirmed candidates. Two texts of similarity 0.8 share no band with a chance of 3e-6.
+against all of the other components, within the bucket's task, and only confirmed links leave it. So the components
+are those of all confirmed candidates. Two texts of similarity 0.8 share no band with a chance of 3e-6.
 
 Defined results: null, empty and white-space texts have no shingles, are linked with nothing and are kept. Rows of
 one id are one node. A row without id is linked with nothing and kept, its component null. Extra columns are left
@@ -19,7 +19,6 @@ out. An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +31,9 @@ from twinsift.llm.shared import cut
 NAME = "op4_minhash_near_dedup"
 
 BANDS, ROWS, BITS = 32, 5, 4
-SLACK = 0.2
-#: Members of a bucket that are compared in one task, when it holds several components.
-BLOCK = 2048
+SLACK = 0.15
+#: Members of a bucket that are compared in one task, when it holds several components, and pairs at a time.
+BLOCK, PAIRS = 2048, 200_000
 
 _N = BANDS * ROWS
 _A = (T.mix(np.arange(1, _N + 1, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -150,50 +149,95 @@ def _packed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL").mapInArrow(run, "id long, z binary")
 
 
+def _set(press, z: bytes, words: int) -> np.ndarray:
+    """The sorted shingles of a packed text."""
+    raw = np.frombuffer(press.decompress(z), np.uint8)
+    return np.unique(shingles(raw, np.array([0, len(raw)]), words)[0])
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if not len(x) or not len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    n = int((y[at] == x).sum())
+    return 100 * n >= percent * (len(x) + len(y) - n)
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those pairs (id, m) whose full shingle sets have 100 * intersection >= percent * union."""
+    texts = texts.select("id", "z")
     left = pairs.select("id", "m").join(texts, "id")
     both = left.join(texts.select(F.col("id").alias("m"), F.col("z").alias("zm")), "m").select("id", "m", "z", "zm")
 
     def run(frames):
         press, last = zstandard.ZstdDecompressor(), (None, None)
-
-        def held(z):
-            raw = np.frombuffer(press.decompress(z), np.uint8)
-            return np.unique(shingles(raw, np.array([0, len(raw)]), words)[0])
-
         for f in frames:
             keep = []
             for z, zm in zip(f.column("z"), f.column("zm"), strict=True):
                 zm = zm.as_py()
                 if last[0] != zm:
-                    last = (zm, held(zm))
-                x, y = held(z.as_py()), last[1]
-                at = np.minimum(np.searchsorted(y, x), max(0, len(y) - 1))
-                n = int((y[at] == x).sum()) if len(y) else 0
-                keep.append(bool(n) and 100 * n >= percent * (len(x) + len(y) - n))
+                    last = (zm, _set(press, zm, words))
+                keep.append(_alike(_set(press, z.as_py(), words), last[1], percent))
             yield f.select(["id", "m"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, "id long, m long").distinct()
 
 
-def _between(top: int, least: float):
-    """For each member outside the bucket's largest component and each other component there: the top best candidates."""
-
-    def run(key, f):
-        sig = np.array(f["sig"].tolist(), np.int64).view(np.uint64)
-        ids, comp, big = f["id"].to_numpy(), f["component"].to_numpy(), f["largest"].to_numpy()
-        out = []
-        for i in np.flatnonzero(comp != big):
-            near = _estimates(sig[i], sig)
-            at = np.flatnonzero((near >= least) & (comp != comp[i]))
-            if len(at):
-                order = at[np.lexsort((ids[at], -near[at], comp[at]))]
-                _, heads, sizes = np.unique(comp[order], return_index=True, return_counts=True)
-                rank = np.arange(len(order)) - np.repeat(heads, sizes)
-                got = order[rank < top]
-                out.append(pd.DataFrame({"id": ids[i], "m": ids[got], "more": bool((rank >= top).any())}))
-        return pd.concat(out) if out else pd.DataFrame({"id": pd.Series(dtype="int64"), "m": pd.Series(dtype="int64"), "more": pd.Series(dtype="bool")})
+def _between(least: float, words: int, percent: int):
+    """Confirmed links between different components of a bucket.
+
+    A table holds whole (key, salt) buckets, many of them. Members outside a bucket's largest component are held against
+    its other components; pairs are made as positions, PAIRS at a time, and a candidate counts only in the first band that its
+    members share, so once in all. Best estimate first, candidates whose components haven't met yet are compared on
+    full sets; only links leave."""
+
+    def run(table):
+        sig = table.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        key, salt, ids, comp, big = (table.column(c).to_numpy() for c in ("key", "salt", "id", "component", "largest"))
+        order = np.lexsort((salt, key))
+        sig, bands, key, salt, ids, comp, big = (x[order] for x in (sig, bands, key, salt, ids, comp, big))
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
+        size = np.diff(np.append(first, len(ids)))
+        odd = np.flatnonzero(comp != big)
+        bucket = np.searchsorted(first, odd, "right") - 1
+        ends = np.cumsum(size[bucket])
+        found, at = [(odd[:0], odd[:0], np.zeros(0))], 0
+        while at < len(odd):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+            n = size[bucket[at:to]]
+            x = np.repeat(odd[at:to], n)
+            y = np.repeat(first[bucket[at:to]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            # members outside the largest component are in every salt, and both ends of a pair can be
+            apart = (comp[x] != comp[y]) & ((comp[y] == big[y]) | (salt[x] == 0) & (ids[x] < ids[y]))
+            x, y = x[apart], y[apart]
+            est = _estimates(sig[x], sig[y])
+            near = est >= least
+            x, y, est = x[near], y[near], est[near]
+            band = (bands[x] == bands[y]).argmax(axis=1)
+            here = bands[x, band] == key[x]
+            found.append((x[here], y[here], est[here]))
+            at = to
+        x, y, est = (np.concatenate(z) for z in zip(*found, strict=True))
+        press, texts, sets, root, out = zstandard.ZstdDecompressor(), table.column("z"), {}, {}, []
+
+        def held(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = _set(press, texts[int(order[i])].as_py(), words)
+            return sets[i]
+
+        def top(c: int) -> int:
+            while root.get(c, c) != c:
+                c = root[c]
+            return c
+
+        for k in np.argsort(-est, kind="stable").tolist():
+            i, j = int(x[k]), int(y[k])
+            a, b = top(int(comp[i])), top(int(comp[j]))
+            if a != b and _alike(held(i), held(j), percent):
+                root[a] = b
+                out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"id": pa.array([a for a, _ in out], pa.int64()), "m": pa.array([b for _, b in out], pa.int64())})
 
     return run
 
@@ -218,7 +262,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     scored = pairs.join(sig, "id").join(sig.select(F.col("id").alias("m"), F.col("sig").alias("sm")), "m").select("id", "m", _estimate(F.col("sig"), F.col("sm")).alias("est")).where(F.col("est") >= least)
     scored = cut(scored.groupBy("id", "m").agg(F.max("est").alias("est")))
 
-    texts = cut(_packed(docs).join(shared.select("id").distinct(), "id", "left_semi"))
+    some_reps = reps.join(shared.select("id").distinct(), "id", "left_semi")
+    texts = cut(_packed(docs).join(some_reps, "id"))
     first = scored.groupBy("id").agg(F.max_by("m", F.struct("est", -F.col("m"))).alias("m"))
     links = cut(_confirmed(first, texts, words, percent).unionAll(twice))
     label = components(links, "id", "m")
@@ -228,31 +273,32 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         a, b = label.select(F.col("node").alias("id"), F.col("component").alias("ca")), label.select(F.col("node").alias("m"), F.col("component").alias("cb"))
         return p.join(a, "id", "left").join(b, "m", "left").where(F.coalesce("ca", "id") != F.coalesce("cb", "m")).select("id", "m")
 
+    def joined(label: DataFrame, new: DataFrame) -> DataFrame:
+        """label with the components that new links (id, m) tie together made one."""
+        a, b = label.select(F.col("node").alias("id"), F.col("component").alias("ca")), label.select(F.col("node").alias("m"), F.col("component").alias("cb"))
+        ends = new.join(a, "id", "left").join(b, "m", "left").select(F.coalesce("ca", "id").alias("a"), F.coalesce("cb", "m").alias("b"))
+        tied = components(ends).withColumnRenamed("component", "root")
+        old = label.join(tied.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        more = tied.select("node", F.col("root").alias("component")).join(label.select("node"), "node", "left_anti")
+        return cut(old.unionAll(more))
+
     rest = cut(apart(scored.select("id", "m").join(first.select("id", "m"), ["id", "m"], "left_anti"), label))
-    tested = scored.select("id", "m")
     if not rest.isEmpty():
-        links = cut(links.unionAll(_confirmed(rest, texts, words, percent)))
-        label = components(links, "id", "m")
-
-    top = 8
-    while True:
-        named = shared.select("id", "key").join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-        open_ = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("component", "n").alias("largest"), F.sum("n").alias("total")).where("kinds > 1")
-        rows = named.join(open_, "key").withColumn("salts", F.ceil(F.col("total") / BLOCK).cast("int"))
-        salts = F.when(F.col("component") == F.col("largest"), F.array(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-        rows = rows.select("id", "key", "component", "largest", F.explode(salts).alias("salt")).join(sig, "id")
-        found = rows.groupBy("key", "salt").applyInPandas(_between(top, least), "id long, m long, more boolean")
-        found = cut(found.select(F.least("id", "m").alias("m"), F.greatest("id", "m").alias("id"), "more").groupBy("id", "m").agg(F.max("more").alias("more")))
-        new = cut(found.select("id", "m").join(tested, ["id", "m"], "left_anti"))
-        fresh = not new.isEmpty()
-        if fresh:
-            links = cut(links.unionAll(_confirmed(new, texts, words, percent)))
-            label = components(links, "id", "m")
-            tested = tested.unionAll(new)
-        if found.where("more").isEmpty():
-            break
-        top *= 8
+        label = joined(label, _confirmed(rest, texts, words, percent))
+
+    # a bucket of two is one pair with its smallest id, and that has been tested
+    wide = shared.where("n > 2").select("id", "key")
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    named = wide.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("component", "n").alias("largest"), F.sum("n").alias("total")).where("kinds > 1")
+    rows = named.join(open_, "key").withColumn("salts", F.ceil(F.col("total") / BLOCK).cast("int"))
+    salts = F.when(F.col("component") == F.col("largest"), F.array(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
+    rows = rows.select("id", "key", "component", "largest", F.explode(salts).alias("salt")).join(texts, "id")
+    part = F.pmod(F.xxhash64("key", "salt"), F.lit(tasks)).alias("part")
+    last = cut(rows.groupBy(part).applyInArrow(_between(least, words, percent), "id long, m long"))
+    if not last.isEmpty():
+        label = joined(label, last)
 
     end = sigs.select("doc_id", "n_shingles").join(member.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left")
     end = end.withColumn("node", F.coalesce("rep", "doc_id")).join(label, "node", "left")
