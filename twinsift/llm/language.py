@@ -29,7 +29,7 @@ from twinsift.llm.urls import host_of
 NAME = "op6_language_id"
 SQL = None
 
-#: Documents that the model is fitted on, at most, and languages that it knows, at most.
+#: Documents that the model is fitted on (the expected number, where there are more), and languages that it knows, at most.
 SAMPLE, LANGUAGES = 4000, 64
 BUCKETS = 1 << 13
 #: Trigrams of a text count as this many independent ones at most.
@@ -57,7 +57,10 @@ def _trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and the log probability of each trigram bucket in each. labelled: doc_id, text, lang."""
-    sample = labelled.where("lang IS NOT NULL AND text IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    some = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    # by a bound on the id's hash, so that no task gathers the sample
+    share = min(1.0, SAMPLE / max(1, some.count()))
+    sample = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
 
     def run(frames):
         for f in frames:
