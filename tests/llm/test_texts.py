@@ -150,6 +150,14 @@ def test_line_dedup(spark):
     assert got[0].asDict().keys() == {"doc_id", "text", "n_words", "kept", "n_lines", "n_removed", "n_partners"}
 
 
+def test_line_dedup_links_runs_by_their_own_first_holder(spark):
+    """Lines of a run that occurred earlier in other documents don't hide the document that holds the run."""
+    x, y, z = (c * 30 for c in "xyz")
+    docs = {1: x, 2: y, 3: z, 4: f"{x}\n{y}\n{z}", 5: f"five\n{x}\n{y}\n{z}\nend"}
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(frame(spark, list(docs.items()))).collect()}
+    assert got == docs | {5: "five\nend"}
+
+
 def test_patience_matches_plain_recursion():
     r = random.Random(11)
     for _ in range(200):

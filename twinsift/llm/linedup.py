@@ -1,9 +1,10 @@
 """Line dedup by pairwise alignment.
 
-Overlapping documents are found through the hashes of lines that they share. A line held by several documents links
-each later one to the first that holds it: one link a document, not all pairs, so that a frequent line costs no more
-than a rare one and none is dropped. Links whose shared lines can't fill a block are left; the others get a rarity,
-the sum of 1 / documents over their shared lines. Each linked pair is aligned with patience diff: lines that both hold
+Overlapping documents are found through the hashes of windows that they share. A window is a run of neighbouring lines
+that just reaches MIN_CHARS from its first line on, or from its last line back; every line of a longer run lies in a window
+inside the run, and the same run has the same windows in any document. A window held by several documents links each later
+one to the first that holds it: one link a document, not all pairs, so that a frequent window costs no more than a rare one
+and none is dropped. Links get a rarity, the sum of 1 / documents over their shared windows. Each linked pair is aligned with patience diff: lines that both hold
 once are matched in the longest order-preserving way, matches grow over equal neighbours, and the stretches between
 are aligned in the same way. Aligned blocks of MIN_CHARS characters or more are deleted from the later document.
 
@@ -19,11 +20,14 @@ from __future__ import annotations
 
 from bisect import bisect_left
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinsift.llm import textkit as T
+
 NAME = "op5_line_dedup"
 SQL = None
 
@@ -84,20 +88,43 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int, int]]:
     return blocks
 
 
+def windows(hs: np.ndarray, lens: np.ndarray, off: np.ndarray, min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the windows of documents whose lines begin at off (one more entry at the end)."""
+    n, least = len(lens), max(min_chars, 1)
+    chars = np.zeros(n + 1, np.int64)
+    np.cumsum(lens, out=chars[1:])
+    size = np.diff(off)
+    at, first, end = np.arange(n), np.repeat(off[:-1], size), np.repeat(off[1:], size)
+    to = np.searchsorted(chars, chars[:-1] + least, "left")
+    since = np.searchsorted(chars, chars[1:] - least, "right") - 1
+    # a window that is the shortest from both sides counts once
+    down, up = to <= end, (since >= first) & (to[since] != at + 1)
+    starts, ends = np.concatenate([at[down], since[up]]), np.concatenate([to[down], at[up] + 1])
+    return starts, ends, T.runs(hs.astype(np.uint64), starts, ends)
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, hs and lens: a hash and the characters of each line; blank lines have length 0."""
-    d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.split("text", "\n", -1).alias("l"))
+    d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n", -1).alias("l"))
     return d.select("doc_id", F.transform("l", lambda x: F.xxhash64(x)).alias("hs"), F.transform("l", lambda x: F.when(x.rlike(r"[^\x20\x09-\x0D]"), F.length(x)).otherwise(0)).alias("lens"))
 
 
 def overlaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, first, chars and rarity: the earlier documents that each document shares lines with."""
-    each = _lines(docs).select("doc_id", F.explode(F.arrays_zip("hs", "lens")).alias("x")).select("doc_id", F.col("x.hs").alias("h"), F.col("x.lens").alias("n")).where("n > 0")
-    # a row for each document and line; equal hashes have equal lengths
-    each = each.groupBy("doc_id", "h").agg(F.sum("n").alias("n"))
+    """doc_id, first and rarity: the earlier documents that each document shares windows with."""
+
+    def run(batches):
+        for f in batches:
+            lines = f.column("hs")
+            off = np.concatenate([[0], np.cumsum(lines.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+            starts, _, h = windows(lines.flatten().to_numpy(), f.column("lens").flatten().to_numpy(), off, min_chars)
+            ids = f.column("doc_id").to_numpy()[np.searchsorted(off, starts, "right") - 1]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h.view(np.int64))], ["doc_id", "h"])
+
+    # a row for each document and window
+    each = _lines(docs).mapInArrow(run, "doc_id long, h long").distinct()
     held = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1")
     hits = each.join(held, "h").where("doc_id > first")
-    return hits.groupBy("doc_id", "first").agg(F.sum("n").alias("chars"), F.sum(1 / F.col("df")).alias("rarity")).where(F.col("chars") >= min_chars)
+    return hits.groupBy("doc_id", "first").agg(F.sum(1 / F.col("df")).alias("rarity"))
 
 
 def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:

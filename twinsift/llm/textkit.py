@@ -104,6 +104,13 @@ def grams(h: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def runs(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each h[start:end]; equal runs have equal hashes."""
+    sums = np.zeros(len(h) + 1, np.uint64)
+    np.cumsum(h * _pow("up", len(h)), dtype=np.uint64, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * _pow("down", len(h) + 1)[starts] + (ends - starts).astype(np.uint64))
+
+
 def batches(table: pa.Table | pa.RecordBatch, column: str, most: int = 4 << 20):
     """Slices of the table whose texts have about `most` bytes each; a longer text comes alone."""
     if not table.num_rows:
