@@ -127,3 +127,23 @@ def line_dedup(docs, min_chars=50, align=patience):
                 run.append((x, y))
         out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t
     return out
+
+
+def runs_left(docs, min_chars=50):
+    """{doc_id: text without the lines in a run of min_chars that an earlier document holds}, each run tried with each document."""
+    lines = {d: (t or "").split("\n") for d, t in docs.items()}
+    size = lambda x: len(x) if words(x) else 0
+    out = {}
+    for d, b in lines.items():
+        gone = set()
+        for e in lines:
+            a = lines[e] if e < d else []
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    n = 0
+                    while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                        n += 1
+                    if sum(map(size, b[y : y + n])) >= min_chars:
+                        gone.update(range(y, y + n))
+        out[d] = "\n".join(x for i, x in enumerate(b) if i not in gone) if gone else docs[d]
+    return out

@@ -256,6 +256,19 @@ def test_pipeline_against_plain_python(spark):
     check(out)
 
 
+def test_pipeline_deletes_every_run_that_an_earlier_document_holds(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    from twinsift.llm import quality
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    left = {r.doc_id: r.text for r in quality.filter_documents(docs).collect()}
+    lined = {d: t for d, t in brute.runs_left(left).items() if t == left[d] or brute.words(t)}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, quality.filter_documents(docs), sf).collect()} == lined
+    stays = {d for d, _, _, kept in brute.near_duplicates(sorted(lined.items())) if kept}
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == stays
+
+
 def test_stages_return_the_columns_of_documents(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)

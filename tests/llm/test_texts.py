@@ -158,6 +158,22 @@ def test_line_dedup_links_runs_by_their_own_first_holder(spark):
     assert got == docs | {5: "five\nend"}
 
 
+def test_line_dedup_repeated_and_moved_passages(spark):
+    x, y, s = "x" * 60, "y" * 60, "s" * 20
+    held = f"a\n{y}\n{x}\nb\n{s}\n{s}\n{s}\nz"
+    docs = {1: held, 2: f"c\n{x}\nd\n{x}\ne", 3: f"f\n{x}\n{y}\ng", 4: f"h\n{x}\n{y}\ni", 5: f"j\n{s}\n{s}\n{s}\nk\n{s}\n{s}\nl\n{s}\n{s}\n{s}\nm"}
+    got = {r.doc_id: r.text for r in linedup.dedup_lines(frame(spark, list(docs.items()))).collect()}
+    assert got == {1: held, 2: "c\nd\ne", 3: "f\ng", 4: "h\ni", 5: f"j\nk\n{s}\n{s}\nl\nm"}
+
+
+def test_line_dedup_leaves_no_run_of_an_earlier_document(spark):
+    r = random.Random(13)
+    pool = [c * r.choice([3, 12, 24, 49, 50, 70]) for c in "abcdefghijklmn"] + ["", "  "]
+    docs = {i: "\n".join(r.choice(pool) for _ in range(r.randint(0, 14))) for i in range(60)}
+    got = {x.doc_id: x.text for x in linedup.dedup_lines(frame(spark, list(docs.items()))).collect()}
+    assert got == brute.runs_left(docs)
+
+
 def test_patience_matches_plain_recursion():
     r = random.Random(11)
     for _ in range(200):

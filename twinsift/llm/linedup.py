@@ -6,13 +6,16 @@ inside the run, and the same run has the same windows in any document. A window
 one to the first that holds it: one link a document, not all pairs, so that a frequent window costs no more than a rare one
 and none is dropped. Links get a rarity, the sum of 1 / documents over their shared windows. Each linked pair is aligned with patience diff: lines that both hold
 once are matched in the longest order-preserving way, matches grow over equal neighbours, and the stretches between
-are aligned in the same way. Aligned blocks of MIN_CHARS characters or more are deleted from the later document.
+are aligned in the same way. Lines that repeat or have moved have no such match; what is left of the later document is
+aligned by its windows, each with any place of the other that holds it, until no block of MIN_CHARS is left. Aligned blocks
+of MIN_CHARS characters or more are deleted from the later document: in all, every line that lies in a run of MIN_CHARS
+characters that an earlier document holds, in whatever order and however often.
 
 Lines are split at \\n and compared whole, by a 64-bit hash; a line of white space matches within a block but
 links nothing. Alignments are judged on the input, not on what is left.
 
 Defined results: null and empty texts have no line to delete and stay as they are. Rows without id, and rows of one id,
-aren't linked with each other. Lines repeated within a document only are kept. Extra columns pass through. An
+aren't linked with each other. Lines repeated within a document that no earlier one holds are kept. Extra columns pass through. An
 empty table gives an empty result.
 """
 
@@ -103,6 +106,29 @@ def windows(hs: np.ndarray, lens: np.ndarray, off: np.ndarray, min_chars: int) -
     return starts, ends, T.runs(hs.astype(np.uint64), starts, ends)
 
 
+def aligned(other: np.ndarray, sizes: np.ndarray, hs: np.ndarray, lens: np.ndarray, min_chars: int) -> list[tuple[int, int]]:
+    """Line ranges [from, to) of the later document (hs, lens) that align with the other in blocks of min_chars."""
+    gone = np.zeros(len(hs), bool)
+    for _, y, n in patience(other.tolist(), hs.tolist()):
+        if lens[y : y + n].sum() >= min_chars:
+            gone[y : y + n] = True
+    if not np.isin(hs[~gone], other).any():
+        return _ranges(gone)
+    # repeated or moved: what is left aligns wherever a window of it occurs in the other
+    n = len(other)
+    starts, ends, h = windows(np.concatenate([other, hs]), np.concatenate([sizes, lens]), np.array([0, n, n + len(hs)]), min_chars)
+    mine = starts >= n
+    hit = mine.copy()
+    hit[mine] = np.isin(h[mine], h[~mine])
+    depth = np.bincount(starts[hit] - n, minlength=len(hs) + 1) - np.bincount(ends[hit] - n, minlength=len(hs) + 1)
+    return _ranges(gone | (np.cumsum(depth)[:-1] > 0))
+
+
+def _ranges(gone: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(gone.astype(np.int8), prepend=0, append=0)).tolist()
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, hs and lens: a hash and the characters of each line; blank lines have length 0."""
     d = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n", -1).alias("l"))
@@ -131,18 +157,18 @@ def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, first, rarity and spans: line ranges [from, to) of the later document that align with the first."""
     lines = _lines(docs)
     mine = overlaps(docs, min_chars).join(lines, "doc_id")
-    both = mine.join(lines.select(F.col("doc_id").alias("first"), F.col("hs").alias("other")), "first")
+    both = mine.join(lines.select(F.col("doc_id").alias("first"), F.col("hs").alias("other"), F.col("lens").alias("sizes")), "first")
 
     def run(frames):
         for f in frames:
             out = []
-            for d, first, rarity, hs, lens, other in zip(f.doc_id, f["first"], f.rarity, f.hs, f.lens, f.other, strict=True):
-                spans = [(int(y), int(y + n)) for _, y, n in patience(other.tolist(), hs.tolist()) if lens[y : y + n].sum() >= min_chars]
+            for d, first, rarity, hs, lens, other, sizes in zip(f.doc_id, f["first"], f.rarity, f.hs, f.lens, f.other, f.sizes, strict=True):
+                spans = aligned(other, sizes, hs, lens, min_chars)
                 if spans:
                     out.append((d, first, rarity, spans))
             yield pd.DataFrame(out, columns=["doc_id", "first", "rarity", "spans"])
 
-    return both.select("doc_id", "first", "rarity", "hs", "lens", "other").mapInPandas(run, "doc_id long, first long, rarity double, spans array<struct<`from`:int,`to`:int>>")
+    return both.select("doc_id", "first", "rarity", "hs", "lens", "other", "sizes").mapInPandas(run, "doc_id long, first long, rarity double, spans array<struct<`from`:int,`to`:int>>")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
