@@ -47,3 +47,8 @@ def test_sql_gives_the_same_rows(spark, name):
     want = c.execute(f"SELECT {', '.join(f'"{x}"' for x in got.columns)} FROM ({entry.oracle_sql()[name]})").fetchall()
     tidy = lambda rows: sorted(tuple(round(x, 5) if isinstance(x, float) else x for x in r) for r in rows)
     assert tidy(map(tuple, got.collect())) == tidy(want)
+
+
+@pytest.mark.parametrize("name", ["pairwise_matrix", "pairwise_matrix_all"])
+def test_sql_of_the_matrix(spark, name):
+    test_sql_gives_the_same_rows(spark, name)

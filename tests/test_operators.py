@@ -66,6 +66,19 @@ def test_join_edges(spark):
         assert simjoin.self_join(edge, 0.1, s, compat_f32=True).count() == 1
 
 
+def test_matrix_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simjoin, "MATRIX_ROWS", 16)
+    a, b = random_rows(40, 5, 2), random_rows(60, 5, 3)
+    b[7] = (7, [float("nan")] * 5)
+    one, two = spark.createDataFrame(a, VECTORS), spark.createDataFrame([*b, (99, None)], VECTORS)
+    want = {(i, j): math.dist(x, y) for i, x in a for j, y in b if j != 7}
+    for s in ("blocked", "nested"):
+        got = simjoin.pairwise_matrix(one, two, s).collect()
+        assert len(got) == len(want) and all(abs(want[r.i, r.j] - r.dist) < 1e-12 for r in got)
+    assert simjoin.pairwise_matrix(one, one).where("i = j AND dist = 0").count() == len(a)
+    assert simjoin.pairwise_matrix(one, two.limit(0)).collect() == []
+
+
 def test_kernels():
     a = np.arange(6.0)
     assert vectors.euclidean(a, a).tolist() == [[0.0]]

@@ -19,10 +19,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinsift.functions.vectors import l2, near_pairs, within
+from twinsift.functions.vectors import euclidean, l2, near_pairs, within
 
 PAIRS = "i long, j long, dist double"
 BLOCK_ROWS = 2048
+MATRIX_ROWS = 512
 GRID_DIRECTIONS = 3
 #: grid is chosen where the threshold is below this share of the spread along a direction.
 GRID_SHARE = 0.05
@@ -169,6 +170,28 @@ def survivors(incoming: DataFrame, matches: DataFrame) -> DataFrame:
     return incoming.join(matches.select(F.col("i").alias("idx")).distinct(), "idx", "left_anti")
 
 
-def pairwise_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
-    """i, j, dist of every pair, the diagonal and both triangles included: for small sets that are asked for whole."""
-    return _nested(a, b, float("inf"), False, False)
+def _blocked_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Pairs of blocks of MATRIX_ROWS rows; each distance is worked out from the differences, some rows at a time."""
+    a, b = a.where("v IS NOT NULL"), b.where("v IS NOT NULL")
+    n, m = (max(1, -(-d.count() // MATRIX_ROWS)) for d in (a, b))
+    left = _dealt(a, n).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("idx", "v", F.col("p").alias("x"), F.col("q").alias("y"))
+    right = _dealt(b, m).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    # new attributes: both sets may come from one table
+    right = right.select((F.col("idx") + 0).alias("idx"), F.transform("v", lambda x: x).alias("v"), F.col("q").alias("x"), F.col("p").alias("y"))
+
+    def run(f, g):
+        if not len(f) or not len(g):
+            return pd.DataFrame({"i": [], "j": [], "dist": []}).astype({"i": "int64", "j": "int64", "dist": "float64"})
+        x, y = _stack(f), _stack(g)
+        step = max(1, (1 << 21) // y.size) if y.size else len(x)
+        d = np.concatenate([euclidean(x[k : k + step], y) for k in range(0, len(x), step)]).ravel()
+        i, j = np.repeat(f["idx"].to_numpy(), len(g)), np.tile(g["idx"].to_numpy(), len(f))
+        keep = ~np.isnan(d)
+        return pd.DataFrame({"i": i[keep], "j": j[keep], "dist": d[keep]})
+
+    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(run, PAIRS)
+
+
+def pairwise_matrix(a: DataFrame, b: DataFrame, strategy: str = "blocked") -> DataFrame:
+    """i, j, dist of every pair, the diagonal and both triangles included; pairs without a distance (NaN, null) are left out."""
+    return _blocked_matrix(a, b) if strategy == "blocked" else _nested(a, b, float("inf"), False, False)

@@ -95,6 +95,13 @@ def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(simjoin.pairwise_matrix(some, some))
 
 
+@_query(f"WITH v AS ({fx.RAW}) SELECT a.idx AS i, b.idx AS j, round(list_distance(a.v, b.v), 6) AS dist FROM v a CROSS JOIN v b")
+def pairwise_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix of the whole table."""
+    r = fx.raw(spark, sf_dir)
+    return _rounded(simjoin.pairwise_matrix(r, r))
+
+
 def _sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     r = fx.raw(spark, sf_dir)
     incoming, base = r.where("idx % 2 = 1"), r.where("idx % 2 = 0")
