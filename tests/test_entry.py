@@ -52,3 +52,8 @@ def test_sql_gives_the_same_rows(spark, name):
 @pytest.mark.parametrize("name", ["pairwise_matrix", "pairwise_matrix_all"])
 def test_sql_of_the_matrix(spark, name):
     test_sql_gives_the_same_rows(spark, name)
+
+
+@pytest.mark.parametrize("name", ["near_dup_pairs_intended_all", "near_dup_pairs_compat_all", "dup_groups_compat", "dup_groups_compat_all"])
+def test_sql_of_the_compat_queries(spark, name):
+    test_sql_gives_the_same_rows(spark, name)

@@ -79,6 +79,25 @@ def test_matrix_in_blocks(spark, monkeypatch):
     assert simjoin.pairwise_matrix(one, two.limit(0)).collect() == []
 
 
+def test_ranks_over_buckets(spark):
+    ids = [-5, 7, 8, 2**40, 0, *range(100, 160)]
+    got = {r.id: r.r for r in simjoin.ranks(spark.createDataFrame([(i,) for i in ids], "id long"), 7).collect()}
+    assert got == {i: k for k, i in enumerate(sorted(ids))}
+    assert simjoin.ranks(spark.createDataFrame([], "id long"), 7).collect() == []
+
+
+def test_compat_fixture_covers_the_table(spark):
+    from twinsift.plans import fixtures
+
+    sf = "/root/testdata/sf0.01"
+    n = fixtures.raw(spark, sf).count()
+    ids = sorted(r.idx for r in fixtures.planted_compat_all(spark, sf).select("idx").collect())
+    assert ids == list(range(len(ids))) and len(ids) > 2 * n
+    pairs = {s: {(r.i, r.j) for r in simjoin.self_join(fixtures.planted_compat_all(spark, sf), 0.1, compat_index_bug=s).collect()} for s in (False, True)}
+    assert {i for p in pairs[False] for i in p} >= set(range(n))
+    assert pairs[False] - pairs[True] == {p for p in pairs[False] if p[1] == 2 * p[0] + 1} and len(pairs[False] - pairs[True]) >= n // 2
+
+
 def test_kernels():
     a = np.arange(6.0)
     assert vectors.euclidean(a, a).tolist() == [[0.0]]

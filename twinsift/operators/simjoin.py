@@ -24,6 +24,7 @@ from twinsift.functions.vectors import euclidean, l2, near_pairs, within
 PAIRS = "i long, j long, dist double"
 BLOCK_ROWS = 2048
 MATRIX_ROWS = 512
+RANK_ROWS = 100_000
 GRID_DIRECTIONS = 3
 #: grid is chosen where the threshold is below this share of the spread along a direction.
 GRID_SHARE = 0.05
@@ -35,6 +36,18 @@ def with_idx(df: DataFrame, key: str, v: Column) -> DataFrame:
     return df.select(key, v.alias("v")).join(ranks, key)
 
 
+def ranks(ids: DataFrame, bucket_rows: int = RANK_ROWS) -> DataFrame:
+    """id and r, the 0-based rank of each id among distinct ones; each bucket of about bucket_rows ids is numbered by itself."""
+    n = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // bucket_rows))
+    cuts = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else []
+    bounds = F.array(*[F.lit(int(x)).cast("long") for x in cuts or []]).cast("array<bigint>")
+    dealt = ids.select("id", F.size(F.filter(bounds, lambda x: x < F.col("id"))).alias("bucket"))
+    before = dealt.groupBy("bucket").count().orderBy("bucket").collect()
+    start = F.create_map(*[F.lit(x) for k, r in enumerate(before) for x in (r.bucket, sum(q["count"] for q in before[:k]))]) if before else F.lit(None).cast("map<int,bigint>")
+    row = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
+    return dealt.select("id", (start[F.col("bucket")] + row - 1).cast("long").alias("r"))
+
+
 def directions(dim: int, n: int = GRID_DIRECTIONS, seed: int = 7) -> np.ndarray:
     """n orthogonal unit vectors, the same each time."""
     m = np.random.default_rng(seed).normal(size=(dim, min(n, dim)))
@@ -147,8 +160,8 @@ def self_join(df: DataFrame, threshold: float = 0.1, strategy: str = "auto", com
     else:
         pairs = {"nested": _nested, "grid": _grid, "lsh": _lsh}[strategy](df, df, threshold, compat_f32, True)
     if compat_index_bug:
-        ranks = df.select(F.col("idx").alias("id")).withColumn("r", F.row_number().over(Window.orderBy("id")) - 1)
-        pairs = pairs.join(ranks.select(F.col("id").alias("i"), F.col("r").alias("ri")), "i").join(ranks.select(F.col("id").alias("j"), F.col("r").alias("rj")), "j")
+        place = ranks(df.select(F.col("idx").alias("id")))
+        pairs = pairs.join(place.select(F.col("id").alias("i"), F.col("r").alias("ri")), "i").join(place.select(F.col("id").alias("j"), F.col("r").alias("rj")), "j")
         pairs = pairs.where("rj <> 2 * ri + 1").select("i", "j", "dist")
     return pairs
 

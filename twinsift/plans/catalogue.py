@@ -88,6 +88,16 @@ def near_dup_pairs_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(simjoin.self_join(fx.planted_compat(spark, sf_dir), 0.1, compat_index_bug=True))
 
 
+@_query(f"WITH {_pairs_sql(fx.PLANTED_COMPAT_ALL, 0.1)} {_OUT}")
+def near_dup_pairs_intended_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(simjoin.self_join(fx.planted_compat_all(spark, sf_dir), 0.1))
+
+
+@_query(f"WITH {_pairs_sql(fx.PLANTED_COMPAT_ALL, 0.1, ' AND b.idx <> 2 * a.idx + 1')} {_OUT}")
+def near_dup_pairs_compat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(simjoin.self_join(fx.planted_compat_all(spark, sf_dir), 0.1, compat_index_bug=True))
+
+
 @_query(f"WITH v AS ({fx.RAW}) SELECT a.idx AS i, b.idx AS j, round(list_distance(a.v, b.v), 6) AS dist FROM v a JOIN v b ON a.idx < 40 AND b.idx < 40")
 def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix of a stated set of 40 vectors, as the operator is for sets that are asked for whole."""
@@ -181,6 +191,11 @@ def dup_groups_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.groups(simjoin.self_join(fx.planted_compat(spark, sf_dir), 0.1, compat_index_bug=True))
 
 
+@_query(f"WITH RECURSIVE {_led_sql(fx.PLANTED_COMPAT_ALL, 0.1, ' AND b.idx <> 2 * a.idx + 1')} SELECT leader, pos, member FROM groups")
+def dup_groups_compat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.groups(simjoin.self_join(fx.planted_compat_all(spark, sf_dir), 0.1, compat_index_bug=True))
+
+
 @_query(f"WITH RECURSIVE {_GROUPS} SELECT DISTINCT member AS idx FROM groups")
 def dup_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.marked(_grouped(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.functions.vectors import as_double
+from twinsift.operators import simjoin
 from twinsift.plans.tables import table
 
 
@@ -46,6 +47,20 @@ _SOME = "vec_id >= 50 AND vec_id < 100 AND vec_id % 2 = 0"
 PLANTED_COMPAT = f"{RAW} WHERE vec_id < 100 OR (vec_id < 200 AND vec_id % 2 = 0) UNION ALL {_moved_sql(0, 0.05, '2 * vec_id + 1', _SOME)} UNION ALL {_moved_sql(1, 0.05, '2 * vec_id + 3', _SOME)}"
 
 
+def planted_compat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All n vectors at their ranks i, and copies at 2 i + 1 and 2 i where those are n or more, else at 2 n + i: contiguous idx."""
+    r = table(spark, sf_dir, "embeddings")
+    n = r.count()
+    v = r.join(simjoin.ranks(r.select(F.col("vec_id").alias("id"))), F.col("vec_id") == F.col("id")).select(F.col("r").alias("idx"), as_double(F.col("embedding")).alias("v"))
+    i = F.col("idx")
+    meets, misses = _moved(v.where(2 * i + 1 >= n), 0, 0.05, 2 * i + 1), _moved(v.where(2 * i >= n), 1, 0.05, 2 * i)
+    return v.unionAll(meets).unionAll(misses).unionAll(_moved(v.where(2 * i + 1 < n), 0, 0.05, i + 2 * n))
+
+
+_RANKED = "(SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, embedding, count(*) OVER () AS n FROM embeddings)"
+PLANTED_COMPAT_ALL = f"{RAW} UNION ALL {_moved_sql(0, 0.05, '2 * vec_id + 1', '2 * vec_id + 1 >= n')} UNION ALL {_moved_sql(1, 0.05, '2 * vec_id', '2 * vec_id >= n')} UNION ALL {_moved_sql(0, 0.05, 'vec_id + 2 * n', '2 * vec_id + 1 < n')}".replace("FROM embeddings", f"FROM {_RANKED}")
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """idx, rel_path, mtime, size_bytes, width, height, format: a catalogue of image files that don't exist."""
     i = F.col("vec_id")
