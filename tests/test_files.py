@@ -58,6 +58,47 @@ def test_headers(spark):
     assert headers.valid(df).count() == len(images)
 
 
+def test_whole_content(spark):
+    good = [png(3, 2), png(40, 40), jpeg(5, 4) + b"\xff\xda\x00\x02\x01\xff\xd9"]
+    gif = b"GIF89a" + struct.pack("<HH", 1, 1) + b"\0\0\0" + b"\x2c" + b"\0" * 9 + b"\x02\x02\x4c\x01\0" + b"\x3b"
+    bmp = b"BM" + struct.pack("<I", 30) + b"\0" * 4 + struct.pack("<I", 26) + b"\0" * 4 + struct.pack("<ii", 1, 1) + b"\0" * 4
+    body = b"VP8L" + struct.pack("<I", 6) + b"\x2f" + (0).to_bytes(4, "little") + b"\0"
+    webp = b"RIFF" + struct.pack("<I", 4 + len(body)) + b"WEBP" + body
+    for b in [*good, gif, bmp, webp]:
+        headers.probe(b)
+        headers._WHOLE[headers.probe(b)[2]](b)
+        with pytest.raises(ValueError):
+            headers.check(b[:-3])
+    broken = bytearray(png(9, 9))
+    broken[-20] ^= 1
+    rows = [("whole", png(9, 9)), ("cut", png(9, 9)[:-20]), ("changed", bytes(broken)), ("none", None)]
+    got = {r.rel_path: r["_error"] for r in headers.checked(spark.createDataFrame(rows, "rel_path string, content binary")).collect()}
+    assert got["whole"] is None and all(got[k] for k in ("cut", "changed", "none"))
+
+
+def test_contents_reads_only_what_is_named(spark, tmp_path):
+    write(tmp_path, {"a/b/c/x": b"1", "a/y": b"2", "z": b"3"})
+    some = spark.createDataFrame([("a/b/c/x", 7), ("none", 8)], "rel_path string, n long")
+    assert {(r.rel_path, r.n, None if r.content is None else bytes(r.content)) for r in listing.contents(some, str(tmp_path)).collect()} == {("a/b/c/x", 7, b"1"), ("none", 8, None)}
+    assert {r.rel_path for r in listing.manifest(spark, str(tmp_path)).collect()} == {"a/b/c/x", "a/y", "z"}
+
+
+def test_store_keeps_other_models_and_whole_versions(spark, tmp_path, monkeypatch):
+    root, store = tmp_path / "img", str(tmp_path / "store")
+    write(root, {"a.png": png(2, 2)})
+    step = lambda **k: encode.update_store(spark, listing.manifest(spark, str(root)), str(root), store, **k)
+    monkeypatch.setitem(encode.ENCODERS, "second", encode.StandIn)
+    step()
+    step(model_id="second", dtype="fp16")
+    assert {r.model_id for r in encode.read_store(spark, store).collect()} == {"stand-in", "second"}
+    one, two = (encode.read_store(spark, store, m).first().embedding for m in ("stand-in", "second"))
+    assert one != two and np.allclose(one, two, atol=1e-2)
+    # a version without its end mark is no version
+    os.makedirs(tmp_path / "store/v9")
+    assert encode.read_store(spark, store).count() == 2
+    assert (tmp_path / "store/v1/model_id=second").is_dir()
+
+
 def test_archives(spark):
     rows = [("d/a.png.npz", npz.dump([1, 2.5])), ("b.npz", b"broken"), ("c.txt", b""), ("e.NPZ", npz.dump([1]))]
     df = spark.createDataFrame(rows, "rel_path string, content binary")
@@ -69,7 +110,7 @@ def test_archives(spark):
 def test_store_follows_its_files(spark, tmp_path):
     root, store = tmp_path / "img", str(tmp_path / "store")
     write(root, {"a.png": png(2, 2), "_b.png": png(2, 2), "bad.jpg": b"no image", "x/c.png": png(4, 4, 9)})
-    step = lambda **k: encode.update_store(spark, listing.manifest(spark, str(root), True), store, **k)
+    step = lambda **k: encode.update_store(spark, listing.manifest(spark, str(root)), str(root), store, **k)
     assert step() == {"encoded": 3, "failed": 1, "orphans": 0}
     assert step()["encoded"] == 0
     (root / "a.png").unlink()
@@ -81,7 +122,7 @@ def test_store_follows_its_files(spark, tmp_path):
         catalog.require(encode.read_store(spark, store, "other"))
     v = {r.rel_path: r.embedding for r in encode.read_store(spark, store).collect()}
     assert len(v["d.png"]) == 64 and abs(np.linalg.norm(v["d.png"]) - 1) < 1e-5
-    assert encode.dtype("FLOAT16") == "fp16" and encode.dtype(None, "cuda:0") == "fp16" and encode.dtype(None) == "fp32"
+    assert encode.number_format("FLOAT16") == "fp16" and encode.number_format(None, "cuda:0") == "fp16" and encode.number_format(None) == "fp32"
 
 
 def test_moves(spark, tmp_path):
@@ -116,7 +157,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert "would move" in capsys.readouterr().out and len(os.listdir(base)) == 3
     assert run("dedupe", "-i", base, "-d", tmp_path / "s1", "-t", tmp_path / "trash", "-kl", "Newest") == 0
     out = capsys.readouterr().out
-    assert "Found 1 duplicates for a.png" in out and "Processed 3 images, 2 duplicates." in out
+    assert "Found 1 duplicates for a.png:\n  b.png 0.000000\n" in out and "Processed 3 images, 2 duplicates." in out
     assert len(os.listdir(base)) == 2 and len(os.listdir(tmp_path / "trash")) == 1
     assert run("import-dedupe", "-bi", base, "-bd", tmp_path / "s1", "-ii", new, "-id", tmp_path / "s2", "-t", tmp_path / "trash2") == 0
     assert os.listdir(new) == ["m.png"] and os.listdir(tmp_path / "trash2") == ["n.png"]
@@ -130,6 +171,7 @@ def test_caption_command(spark, tmp_path):
     rows = spark.read.json(str(tmp_path / "out/metadata.jsonl")).collect()
     assert [(r.file_name, r.text) for r in rows] == [("d_x.png", "a cat, on a mat")]
     assert os.listdir(tmp_path / "out/images") == ["d_x.png"]
+    assert cli.main(["captions", str(tmp_path / "in"), str(tmp_path / "out"), "--clip-model", "stand-in", "--mode", "hardlink"], spark) == 0
 
 
 def test_stream(spark, tmp_path):

@@ -91,9 +91,9 @@ def test_compat_fixture_covers_the_table(spark):
 
     sf = "/root/testdata/sf0.01"
     n = fixtures.raw(spark, sf).count()
-    ids = sorted(r.idx for r in fixtures.planted_compat_all(spark, sf).select("idx").collect())
+    ids = sorted(r.idx for r in fixtures.planted_compat(spark, sf).select("idx").collect())
     assert ids == list(range(len(ids))) and len(ids) > 2 * n
-    pairs = {s: {(r.i, r.j) for r in simjoin.self_join(fixtures.planted_compat_all(spark, sf), 0.1, compat_index_bug=s).collect()} for s in (False, True)}
+    pairs = {s: {(r.i, r.j) for r in simjoin.self_join(fixtures.planted_compat(spark, sf), 0.1, compat_index_bug=s).collect()} for s in (False, True)}
     assert {i for p in pairs[False] for i in p} >= set(range(n))
     assert pairs[False] - pairs[True] == {p for p in pairs[False] if p[1] == 2 * p[0] + 1} and len(pairs[False] - pairs[True]) >= n // 2
 
@@ -120,9 +120,10 @@ def test_grouping(spark, seed, monkeypatch):
     r = random.Random(seed)
     n = 60
     pairs = {tuple(sorted(r.sample(range(n), 2))) for _ in range(n + 20 * seed)}
-    if seed == 3:  # a path, and one task for its end
+    if seed == 3:  # a path
         pairs = {(i, i + 1) for i in range(40)}
-        monkeypatch.setattr(grouping, "ROUNDS", 3)
+    if seed:  # rounds, and one task for their end
+        monkeypatch.setattr(grouping, "WALK", 5 * (seed - 1))
     df = spark.createDataFrame([(i, j, 0.0) for i, j in pairs], "i long, j long, dist double")
     got = grouping.groups(df)
     by = {}

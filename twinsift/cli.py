@@ -52,11 +52,12 @@ def parser() -> argparse.ArgumentParser:
     p = sub.add_parser("encode-test")
     p.add_argument("-m", "--model-id", default=MODEL)
     p.add_argument("-d", "--device", default="cpu")
-    p.add_argument("-p", "--dtype", default="fp32")
+    p.add_argument("-p", "--dtype", type=str.lower, choices=sorted(encode.DTYPES), default="fp32")
     p.add_argument("paths", nargs="*")
     p = sub.add_parser("captions")
     p.add_argument("input")
     p.add_argument("output")
+    p.add_argument("--clip-model", choices=sorted(captions.COUNTERS), default=MODEL, help="whose tokens the parts are counted in")
     p.add_argument("--mode", choices=sinks.MODES, default="copy")
     return top
 
@@ -66,7 +67,7 @@ def _store(spark: SparkSession, a: argparse.Namespace, which: str) -> tuple[Data
     root, path = getattr(a, f"{which}_images"), getattr(a, f"{which}_store")
     manifest = listing.manifest(spark, root)
     if not (a.skip_update or getattr(a, "dry_run", False)):
-        counts = encode.update_store(spark, listing.manifest(spark, root, True), path, a.model_id, a.force_update, a.clean_orphans, getattr(a, "batch_size", 4))
+        counts = encode.update_store(spark, manifest, root, path, a.model_id, a.force_update, a.clean_orphans, getattr(a, "batch_size", 4), a.device)
         print(", ".join(f"{k} {v}" for k, v in counts.items()))
     held = catalog.require(catalog.without_orphans(manifest, encode.read_store(spark, path, a.model_id)))
     shape = reports.store_shape(held).first()
@@ -75,10 +76,15 @@ def _store(spark: SparkSession, a: argparse.Namespace, which: str) -> tuple[Data
 
 
 def _told(pairs: DataFrame, left: DataFrame, right: DataFrame) -> None:
+    """A line for each match, in order; rows come one partition at a time, and a row with many matches isn't gathered."""
     named = pairs.join(left.select(F.col("idx").alias("i"), F.col("rel_path").alias("path")), "i").join(right.select(F.col("idx").alias("j"), F.col("rel_path").alias("other")), "j")
-    lines = named.groupBy("i", "path").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("j", "other", "dist"))).alias("m"))
-    for r in lines.orderBy("i").toLocalIterator():
-        print(f"Found {r.n} duplicates for {r.path}: {[(x.other, round(x.dist, 6)) for x in r.m]}")
+    counted = named.join(pairs.groupBy("i").agg(F.count("*").alias("n")), "i")
+    last = None
+    for r in counted.orderBy("i", "j").toLocalIterator():
+        if r.i != last:
+            print(f"Found {r.n} duplicates for {r.path}:")
+            last = r.i
+        print(f"  {r.other} {r.dist:.6f}")
 
 
 def _moved(plan: DataFrame, root: str, dry_run: bool) -> None:
@@ -94,7 +100,8 @@ def dedupe(spark: SparkSession, a: argparse.Namespace) -> int:
     grouped = cut(grouping.groups(pairs))
     _told(pairs.join(grouped.where("pos = 0").select(F.col("leader").alias("i")), "i", "left_semi"), rows, rows)
     if a.trash_dir:
-        described = headers.headers(listing.manifest(spark, a.base_images, True)).drop("_error")
+        named = rows.join(grouping.marked(grouped), "idx", "left_semi").select("rel_path")
+        described = headers.headers(listing.contents(named, a.base_images)).drop("_error")
         files = rows.select("idx", "rel_path").join(manifest, "rel_path").join(described, "rel_path", "left").withColumnRenamed("mtime_ns", "mtime")
         plan = cut(keep.live_decisions(grouped, files, a.keeping_logic, os.path.abspath(a.trash_dir)))
         _moved(plan, a.base_images, a.dry_run)
@@ -126,8 +133,7 @@ def store_test(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def encode_test(spark: SparkSession, a: argparse.Namespace) -> int:
-    encode.dtype(a.dtype, a.device)
-    done = encode.encode(listing.listed(spark, a.paths), a.model_id).persist()
+    done = cut(encode.encode(listing.listed(spark, a.paths), a.model_id, device=a.device, dtype=a.dtype))
     for r in done.where("_error IS NOT NULL").toLocalIterator():
         print(f"{r.rel_path}: {r['_error']}")
     rows = simjoin.with_idx(done.where("_error IS NULL").select("rel_path", "embedding"), "rel_path", as_double(F.col("embedding")))
@@ -139,14 +145,18 @@ def encode_test(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def prepare_captions(spark: SparkSession, a: argparse.Namespace) -> int:
     files = listing.manifest(spark, a.input)
-    texts = listing.manifest(spark, a.input, True).where(F.col("rel_path").endswith(".txt")).select("rel_path", F.decode("content", F.lit("UTF-8")).alias("content"))
-    paired = captions.require_distinct_names(captions.pairs(files, texts))
-    meta = captions.metadata(paired)
+    notes = listing.contents(files.where(F.col("rel_path").endswith(".txt")).select("rel_path"), a.input)
+    texts = notes.select("rel_path", F.decode("content", "UTF-8").alias("content"))
+    paired = captions.require_distinct_names(cut(captions.pairs(files, texts)))
+    meta = cut(captions.metadata(paired, captions.COUNTERS[a.clip_model]))
     sinks.write_jsonl(meta, f"{a.output}/metadata.jsonl")
     names = paired.select("rel_path", F.translate("rel_path", "/", "_").alias("file_name"))
-    bad = sinks.materialise(names, a.input, f"{a.output}/images", a.mode).where("_error IS NOT NULL").collect()
-    print(f"{meta.count()} rows, {len(bad)} files failed")
-    return int(bool(bad))
+    bad = cut(sinks.materialise(names, a.input, f"{a.output}/images", a.mode).where("_error IS NOT NULL"))
+    for r in bad.toLocalIterator():
+        print(f"{r.rel_path}: {r['_error']}")
+    failed = bad.count()
+    print(f"{meta.count()} rows, {failed} files failed")
+    return int(failed > 0)
 
 
 COMMANDS = {"dedupe": dedupe, "import-dedupe": import_dedupe, "store-test": store_test, "encode-test": encode_test, "captions": prepare_captions}
@@ -162,5 +172,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         return 1
 
 
+def _command(name: str):
+    """An installed program for one command."""
+
+    def run() -> int:
+        return main([name, *sys.argv[1:]])
+
+    return run
+
+
+dedupe_main, import_main, store_main, encode_main, captions_main = map(_command, COMMANDS)
+
+
 if __name__ == "__main__":
     sys.exit(main())

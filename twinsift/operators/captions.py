@@ -23,6 +23,10 @@ def count_tokens(text: Column) -> Column:
     return F.size(F.regexp_extract_all(text, F.lit(STAND_IN), F.lit(0))) + 2
 
 
+#: Token counters by the name of the model whose tokens they count; others are added here.
+COUNTERS: dict[str, Callable[[Column], Column]] = {"stand-in": count_tokens}
+
+
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
@@ -39,24 +43,21 @@ def parts_of(caption: Column, count: Callable[[Column], Column] = count_tokens,
     """The parts of a caption, in order. A caption within the budget is one part, unchanged. Otherwise its pieces between
     separators are taken while their tokens, and one for each separator, fit; a piece that doesn't fit begins the next
     part, and the first piece too, so that an empty part can come first. A piece over the budget is a part of its own."""
-    text = F.array_join
-    words = F.transform(F.split(caption, SEPARATOR, -1), lambda w: F.struct(w.alias("w"), count(w).alias("n")))
-    none = F.array().cast("array<string>")
-    start = F.struct(none.alias("done"), none.alias("now"), F.lit(0).alias("n"))
+    first = F.struct(F.array().cast("array<int>").alias("breaks"), F.lit(0).alias("n"))
 
     def step(s, x):
         fits = s["n"] + x["n"] + 1 <= budget
-        one = F.array(x["w"])
-        return F.struct(
-            F.when(fits, s["done"]).otherwise(F.concat(s["done"], F.array(text(s["now"], SEPARATOR)))).alias("done"),
-            F.when(fits, F.concat(s["now"], one)).otherwise(one).alias("now"),
-            F.when(fits, s["n"] + x["n"] + 1).otherwise(x["n"]).alias("n"),
-        )
+        return F.struct(F.when(fits, s["breaks"]).otherwise(F.concat(s["breaks"], F.array(x["i"]))).alias("breaks"), F.when(fits, s["n"] + x["n"] + 1).otherwise(x["n"]).alias("n"))
 
-    def end(s):
-        return F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(text(s["now"], SEPARATOR)))).otherwise(s["done"])
+    def packed(words):
+        # only where parts begin is carried along; the parts are cut out at the end
+        sized = F.transform(words, lambda w, i: F.struct(i.alias("i"), count(w).alias("n")))
+        breaks = F.aggregate(sized, first, step, lambda s: s["breaks"])
+        ends = F.transform(F.array(breaks), lambda b: F.zip_with(F.concat(F.array(F.lit(0)), b), F.concat(b, F.array(F.size(words))), lambda x, y: F.array_join(F.slice(words, x + 1, y - x), SEPARATOR)))
+        return ends[0]
 
-    return F.when(count(caption) <= budget, F.array(caption)).otherwise(F.aggregate(words, start, step, end))
+    split = F.transform(F.array(F.split(caption, SEPARATOR, -1)), packed)[0]
+    return F.when(count(caption) <= budget, F.array(caption)).when(caption.isNotNull(), split)
 
 
 def chunks(captions: DataFrame, key: str = "rel_path", caption: str = "caption", count: Callable[[Column], Column] = count_tokens, budget: int = BUDGET) -> DataFrame:

@@ -33,7 +33,9 @@ def without_orphans(manifest: DataFrame, store: DataFrame) -> DataFrame:
 
 def refreshed(manifest: DataFrame, store: DataFrame, encoded: DataFrame, clean: bool = True) -> DataFrame:
     """The store with encoded rows in place of their old entries and, where asked for, without orphans."""
-    old = store.join(encoded.select("rel_path"), "rel_path", "left_anti")
+    # an entry gives way to a new one of its own model only
+    same = [c for c in ("rel_path", "model_id") if c in store.columns]
+    old = store.join(encoded.select(*same), same, "left_anti")
     if clean:
         old = without_orphans(manifest, old)
     return old.unionByName(encoded)

@@ -1,12 +1,12 @@
 """Euclidean similarity joins: within one set, between two sets, and the full matrix.
 
-Inputs hold idx (long) and v (array of doubles). Strategies, all exact but lsh:
+Inputs hold idx (long) and v (array of doubles). Strategies, all exact:
 
 - nested: a nested-loop join over array functions; the reference for the others, for small inputs.
-- blocked: rows are dealt to blocks, each pair of blocks is one group, and a matrix product finds the candidates in it.
+- blocked: rows are dealt to blocks, a block is one row of packed numbers, each pair of blocks is one group, and a matrix
+  product finds the candidates in it. Blocks are as large as BLOCK_BYTES allows, since every block is sent to every other.
 - grid: for small thresholds. Vectors whose distance is at most t differ by at most t along every unit direction, so cells of
   width t over a few directions turn the join into an equi-join with the neighbouring cells.
-- lsh: Spark's random projections; misses pairs.
 """
 
 from __future__ import annotations
@@ -14,38 +14,67 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from twinsift.functions.vectors import euclidean, l2, near_pairs, within
+from twinsift.functions.vectors import MixedDimensionsError, euclidean, l2, near_pairs, within
+from twinsift.storage import cut
 
 PAIRS = "i long, j long, dist double"
-BLOCK_ROWS = 2048
+#: Bytes of a block's vectors, and entries of a block's matrix product that are held at a time.
+BLOCK_BYTES = 16 << 20
+TILE = 1 << 21
 MATRIX_ROWS = 512
 RANK_ROWS = 100_000
 GRID_DIRECTIONS = 3
-#: grid is chosen where the threshold is below this share of the spread along a direction.
+#: grid is chosen where the threshold is below this share of the spread along a direction, and there are so many rows.
 GRID_SHARE = 0.05
+GRID_ROWS = 8192
+
+
+def _ranked(df: DataFrame, key: str, name: str, bucket_rows: int) -> DataFrame:
+    """The distinct keys with their 0-based ranks. Keys are sorted in ranges; only a range's count reaches the driver."""
+    ids = df.select(key).distinct()
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // bucket_rows))
+    # the low 33 bits of the id count within a range, the others name it
+    one = F.monotonically_increasing_id()
+    dealt = cut(ids.repartitionByRange(n, key).sortWithinPartitions(key).select(key, one.alias("_at")))
+    part, low = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = dealt.groupBy(part.alias("_part")).count().orderBy("_part").collect()
+    starts, total = [], 0
+    for r in sizes:
+        starts.append((r["_part"], total))
+        total += r["count"]
+    start = F.broadcast(df.sparkSession.createDataFrame(starts, "_part long, _start long"))
+    return dealt.withColumn("_part", part).join(start, "_part").select(key, (F.col("_start") + low).alias(name))
 
 
 def with_idx(df: DataFrame, key: str, v: Column) -> DataFrame:
-    """idx, the 0-based rank of the key, and v. Only the narrow key column is numbered in one task."""
-    ranks = df.select(key).distinct().withColumn("idx", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
-    return df.select(key, v.alias("v")).join(ranks, key)
+    """idx, the 0-based rank of the key, and v."""
+    return df.select(key, v.alias("v")).join(_ranked(df, key, "idx", RANK_ROWS), key)
 
 
 def ranks(ids: DataFrame, bucket_rows: int = RANK_ROWS) -> DataFrame:
-    """id and r, the 0-based rank of each id among distinct ones; each bucket of about bucket_rows ids is numbered by itself."""
-    n = max(int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ids.count() // bucket_rows))
-    cuts = ids.agg(F.percentile_approx("id", [k / n for k in range(1, n)], 100 * n)).first()[0] if n > 1 else []
-    bounds = F.array(*[F.lit(int(x)).cast("long") for x in cuts or []]).cast("array<bigint>")
-    dealt = ids.select("id", F.size(F.filter(bounds, lambda x: x < F.col("id"))).alias("bucket"))
-    before = dealt.groupBy("bucket").count().orderBy("bucket").collect()
-    start = F.create_map(*[F.lit(x) for k, r in enumerate(before) for x in (r.bucket, sum(q["count"] for q in before[:k]))]) if before else F.lit(None).cast("map<int,bigint>")
-    row = F.row_number().over(Window.partitionBy("bucket").orderBy("id"))
-    return dealt.select("id", (start[F.col("bucket")] + row - 1).cast("long").alias("r"))
+    """id and r, the 0-based rank of each id among the distinct ones."""
+    return _ranked(ids, "id", "r", bucket_rows)
+
+
+def profile(df: DataFrame) -> tuple[int, int]:
+    """Rows and dimension; MixedDimensionsError where the vectors differ in length."""
+    row = df.agg(F.count("*").alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("dim")).first()
+    if row.least != row.dim and row.least is not None:
+        raise MixedDimensionsError(f"vectors of {row.least} to {row.dim} components")
+    return row.n, row.dim or 0
+
+
+def plan(df: DataFrame, threshold: float, size: tuple[int, int] | None = None) -> str:
+    """The strategy for a join of df at the threshold, from its size, dimension and spread."""
+    n, dim = size or profile(df)
+    if n <= GRID_ROWS or not dim:
+        return "blocked"
+    spread = df.agg(F.stddev(_along(F.col("v"), directions(dim, 1)[0]))).first()[0]
+    return "grid" if spread and threshold < GRID_SHARE * spread else "blocked"
 
 
 def directions(dim: int, n: int = GRID_DIRECTIONS, seed: int = 7) -> np.ndarray:
@@ -58,60 +87,81 @@ def _along(v: Column, u: np.ndarray) -> Column:
     return F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in u]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def plan(df: DataFrame, threshold: float) -> str:
-    """The strategy for a join of df at the threshold, from its size, dimension and spread."""
-    row = df.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    if row.n <= 4 * BLOCK_ROWS or not row.dim:
-        return "blocked"
-    spread = df.agg(F.stddev(_along(F.col("v"), directions(row.dim, 1)[0]))).first()[0]
-    return "grid" if spread and threshold < GRID_SHARE * spread else "blocked"
+def _n_blocks(df: DataFrame, size: tuple[int, int]) -> int:
+    """So many blocks that each fits its bytes and that their pairs occupy all tasks."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(int((2 * tasks) ** 0.5), -(-size[0] * size[1] * 8 // BLOCK_BYTES), 1)
 
 
-def _n_blocks(df: DataFrame) -> int:
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(int((2 * tasks) ** 0.5), -(-df.count() // BLOCK_ROWS), 1)
+def _packed(df: DataFrame, n: int) -> DataFrame:
+    """p, ids, m and f32: the rows dealt to n blocks by a hash of idx, a block in one row; 32-bit floats where they hold
+    the same numbers. Null vectors are left out."""
 
+    def run(key, table):
+        v = table.column("v").combine_chunks()
+        m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        narrow = m.astype(np.float32)
+        f32 = bool((narrow == m).all())
+        ids = table.column("idx").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
+        cols = [[key[0].as_py()], [ids.tobytes()], [(narrow if f32 else m).tobytes()], [f32]]
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("p", "ids", "m", "f32"), cols, (pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)})
 
-def _dealt(df: DataFrame, n: int) -> DataFrame:
-    return df.select("idx", "v", F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int").alias("p"))
+    dealt = df.where("v IS NOT NULL").select("idx", "v", F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int").alias("p"))
+    return dealt.groupBy("p").applyInArrow(run, "p int, ids binary, m binary, f32 boolean")
 
 
-def _stack(f: pd.DataFrame) -> np.ndarray:
-    return np.array(f["v"].tolist(), np.float64)
+def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(row["ids"], np.int64)
+    return ids, np.frombuffer(row["m"], np.float32 if row["f32"] else np.float64).astype(np.float64).reshape(len(ids), -1)
 
 
-def _blocked_self(df: DataFrame, threshold: float, f32: bool) -> DataFrame:
-    n = _n_blocks(df)
-    q = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    copies = _dealt(df, n).withColumn("q", q).select("idx", "v", "p", F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"))
+def _block_pairs(sides: DataFrame, kernel) -> DataFrame:
+    """kernel(ids, m, ids, m) of the two rows, side 0 and side 1, of each pair of blocks (x, y)."""
 
-    def run(key, f):
-        x, y = key
-        a, b = (f, f) if x == y else (f[f.p == x], f[f.p == y])
-        if not len(a) or not len(b):
-            return pd.DataFrame({"i": [], "j": [], "dist": []}).astype({"i": "int64", "j": "int64", "dist": "float64"})
-        i, j, d = near_pairs(_stack(a), _stack(b), threshold, f32)
-        ia, jb = a["idx"].to_numpy()[i], b["idx"].to_numpy()[j]
-        keep = ia < jb if x == y else np.ones(len(ia), bool)
-        return pd.DataFrame({"i": np.minimum(ia, jb)[keep], "j": np.maximum(ia, jb)[keep], "dist": d[keep]})
+    def run(table):
+        rows = {r["side"]: r for r in table.to_pylist()}
+        found = kernel(*_unpacked(rows[0]), *_unpacked(rows[1])) if len(rows) == 2 else ([], [], [])
+        return pa.table({k: pa.array(c, t) for k, c, t in zip(("i", "j", "dist"), found, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
 
-    return copies.groupBy("x", "y").applyInPandas(run, PAIRS)
+    return sides.groupBy("x", "y").applyInArrow(run, PAIRS)
 
 
-def _blocked_sets(a: DataFrame, b: DataFrame, threshold: float, f32: bool) -> DataFrame:
-    n, m = _n_blocks(a), _n_blocks(b)
-    left = _dealt(a, n).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("idx", "v", F.col("p").alias("x"), F.col("q").alias("y"))
-    right = _dealt(b, m).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    # new attributes: both sets may come from one table
-    right = right.select((F.col("idx") + 0).alias("idx"), F.transform("v", lambda x: x).alias("v"), F.col("q").alias("x"), F.col("p").alias("y"))
+def _tiles(a: np.ndarray, b: np.ndarray, threshold: float, f32: bool):
+    """near_pairs over some rows of a at a time."""
+    step = max(1, TILE // max(1, len(b)))
+    got = [(k, near_pairs(a[k : k + step], b, threshold, f32)) for k in range(0, len(a), step)]
+    return np.concatenate([i + k for k, (i, _, _) in got]), *(np.concatenate([x[c] for _, x in got]) for c in (1, 2))
 
-    def run(f, g):
-        if not len(f) or not len(g):
-            return pd.DataFrame({"i": [], "j": [], "dist": []}).astype({"i": "int64", "j": "int64", "dist": "float64"})
-        i, j, d = near_pairs(_stack(f), _stack(g), threshold, f32)
-        return pd.DataFrame({"i": f["idx"].to_numpy()[i], "j": g["idx"].to_numpy()[j], "dist": d})
 
-    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(run, PAIRS)
+def _blocked_self(df: DataFrame, threshold: float, f32: bool, size: tuple[int, int]) -> DataFrame:
+    n = _n_blocks(df, size)
+    each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = _packed(df, n).withColumn("q", each)
+    # a block meets itself as both sides
+    side = F.explode(F.when(F.col("p") == F.col("q"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("p") > F.col("q")).cast("int"))))
+    sides = blocks.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), side.alias("side"), "ids", "m", "f32")
+
+    def kernel(ids, a, others, b):
+        i, j, d = _tiles(a, b, threshold, f32)
+        i, j = ids[i], others[j]
+        keep = i < j if len(ids) == len(others) and (ids == others).all() else np.ones(len(i), bool)
+        return np.minimum(i, j)[keep], np.maximum(i, j)[keep], d[keep]
+
+    return _block_pairs(sides, kernel)
+
+
+def _two_sides(a: DataFrame, b: DataFrame, n: int, m: int) -> DataFrame:
+    left = _packed(a, n).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(F.col("p").alias("x"), F.col("q").alias("y"), F.lit(0).alias("side"), "ids", "m", "f32")
+    right = _packed(b, m).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("q").alias("x"), F.col("p").alias("y"), F.lit(1).alias("side"), "ids", "m", "f32")
+    return left.unionAll(right)
+
+
+def _blocked_sets(a: DataFrame, b: DataFrame, threshold: float, f32: bool, sizes) -> DataFrame:
+    def kernel(ids, x, others, y):
+        i, j, d = _tiles(x, y, threshold, f32)
+        return ids[i], others[j], d
+
+    return _block_pairs(_two_sides(a, b, _n_blocks(a, sizes[0]), _n_blocks(b, sizes[1])), kernel)
 
 
 def _nested(a: DataFrame, b: DataFrame, threshold: float, f32: bool, ordered: bool) -> DataFrame:
@@ -138,27 +188,17 @@ def _grid(a: DataFrame, b: DataFrame, threshold: float, f32: bool, ordered: bool
     return both.select("i", "j", l2(F.col("a"), F.col("b")).alias("dist")).where(within(F.col("dist"), threshold, f32))
 
 
-def _lsh(a: DataFrame, b: DataFrame, threshold: float, f32: bool, ordered: bool) -> DataFrame:
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    x, y = (d.select("idx", array_to_vector("v").alias("features")) for d in (a, b))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=2.0 * threshold, numHashTables=6, seed=1).fit(x)
-    out = model.approxSimilarityJoin(x, y, threshold * (1 + 1e-9), "dist").select(F.col("datasetA.idx").alias("i"), F.col("datasetB.idx").alias("j"), "dist")
-    out = out.where(within(F.col("dist"), threshold, f32))
-    return out.where("i < j") if ordered else out
-
-
 def self_join(df: DataFrame, threshold: float = 0.1, strategy: str = "auto", compat_index_bug: bool = False, compat_f32: bool = False) -> DataFrame:
-    """i, j, dist of all pairs i < j within the threshold.
+    """i, j, dist of all pairs i < j within the threshold. Vectors of different lengths are an error.
 
     compat_index_bug drops the pairs whose ranks are (r, 2 r + 1), as a search that mixes up two numberings would.
     """
-    strategy = plan(df, threshold) if strategy == "auto" else strategy
+    size = profile(df)
+    strategy = plan(df, threshold, size) if strategy == "auto" else strategy
     if strategy == "blocked":
-        pairs = _blocked_self(df, threshold, compat_f32)
+        pairs = _blocked_self(df, threshold, compat_f32, size)
     else:
-        pairs = {"nested": _nested, "grid": _grid, "lsh": _lsh}[strategy](df, df, threshold, compat_f32, True)
+        pairs = {"nested": _nested, "grid": _grid}[strategy](df, df, threshold, compat_f32, True)
     if compat_index_bug:
         place = ranks(df.select(F.col("idx").alias("id")))
         pairs = pairs.join(place.select(F.col("id").alias("i"), F.col("r").alias("ri")), "i").join(place.select(F.col("id").alias("j"), F.col("r").alias("rj")), "j")
@@ -167,11 +207,14 @@ def self_join(df: DataFrame, threshold: float = 0.1, strategy: str = "auto", com
 
 
 def cross_set_join(incoming: DataFrame, base: DataFrame, threshold: float = 0.1, strategy: str = "auto", compat_f32: bool = False) -> DataFrame:
-    """i (of incoming), j (of base) and dist of all pairs within the threshold."""
-    strategy = plan(base, threshold) if strategy == "auto" else strategy
+    """i (of incoming), j (of base) and dist of all pairs within the threshold. Vectors of different lengths are an error."""
+    sizes = profile(incoming), profile(base)
+    if sizes[0][1] != sizes[1][1] and sizes[0][0] and sizes[1][0]:
+        raise MixedDimensionsError(f"vectors of {sizes[0][1]} and of {sizes[1][1]} components")
+    strategy = plan(base, threshold, sizes[1]) if strategy == "auto" else strategy
     if strategy == "blocked":
-        return _blocked_sets(incoming, base, threshold, compat_f32)
-    return {"nested": _nested, "grid": _grid, "lsh": _lsh}[strategy](incoming, base, threshold, compat_f32, False)
+        return _blocked_sets(incoming, base, threshold, compat_f32, sizes)
+    return {"nested": _nested, "grid": _grid}[strategy](incoming, base, threshold, compat_f32, False)
 
 
 def duplicates(incoming: DataFrame, matches: DataFrame) -> DataFrame:
@@ -185,24 +228,15 @@ def survivors(incoming: DataFrame, matches: DataFrame) -> DataFrame:
 
 def _blocked_matrix(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs of blocks of MATRIX_ROWS rows; each distance is worked out from the differences, some rows at a time."""
-    a, b = a.where("v IS NOT NULL"), b.where("v IS NOT NULL")
-    n, m = (max(1, -(-d.count() // MATRIX_ROWS)) for d in (a, b))
-    left = _dealt(a, n).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select("idx", "v", F.col("p").alias("x"), F.col("q").alias("y"))
-    right = _dealt(b, m).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    # new attributes: both sets may come from one table
-    right = right.select((F.col("idx") + 0).alias("idx"), F.transform("v", lambda x: x).alias("v"), F.col("q").alias("x"), F.col("p").alias("y"))
-
-    def run(f, g):
-        if not len(f) or not len(g):
-            return pd.DataFrame({"i": [], "j": [], "dist": []}).astype({"i": "int64", "j": "int64", "dist": "float64"})
-        x, y = _stack(f), _stack(g)
-        step = max(1, (1 << 21) // y.size) if y.size else len(x)
+    n, m = (max(1, -(-profile(d)[0] // MATRIX_ROWS)) for d in (a, b))
+
+    def kernel(ids, x, others, y):
+        step = max(1, TILE // y.size) if y.size else len(x)
         d = np.concatenate([euclidean(x[k : k + step], y) for k in range(0, len(x), step)]).ravel()
-        i, j = np.repeat(f["idx"].to_numpy(), len(g)), np.tile(g["idx"].to_numpy(), len(f))
         keep = ~np.isnan(d)
-        return pd.DataFrame({"i": i[keep], "j": j[keep], "dist": d[keep]})
+        return np.repeat(ids, len(others))[keep], np.tile(others, len(ids))[keep], d[keep]
 
-    return left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInPandas(run, PAIRS)
+    return _block_pairs(_two_sides(a, b, n, m), kernel)
 
 
 def pairwise_matrix(a: DataFrame, b: DataFrame, strategy: str = "blocked") -> DataFrame:

@@ -63,11 +63,6 @@ def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(simjoin.self_join(fx.raw(spark, sf_dir), RAW_THRESHOLD))
 
 
-@_query(_S["near_dup_pairs"])
-def near_dup_pairs_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(simjoin.self_join(fx.raw(spark, sf_dir), RAW_THRESHOLD, "nested"))
-
-
 @_query(f"WITH {_pairs_sql(fx.PLANTED, 0.1)} {_OUT}")
 def near_dup_pairs_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(simjoin.self_join(fx.planted(spark, sf_dir), 0.1))
@@ -88,25 +83,8 @@ def near_dup_pairs_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(simjoin.self_join(fx.planted_compat(spark, sf_dir), 0.1, compat_index_bug=True))
 
 
-@_query(f"WITH {_pairs_sql(fx.PLANTED_COMPAT_ALL, 0.1)} {_OUT}")
-def near_dup_pairs_intended_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(simjoin.self_join(fx.planted_compat_all(spark, sf_dir), 0.1))
-
-
-@_query(f"WITH {_pairs_sql(fx.PLANTED_COMPAT_ALL, 0.1, ' AND b.idx <> 2 * a.idx + 1')} {_OUT}")
-def near_dup_pairs_compat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(simjoin.self_join(fx.planted_compat_all(spark, sf_dir), 0.1, compat_index_bug=True))
-
-
-@_query(f"WITH v AS ({fx.RAW}) SELECT a.idx AS i, b.idx AS j, round(list_distance(a.v, b.v), 6) AS dist FROM v a JOIN v b ON a.idx < 40 AND b.idx < 40")
-def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix of a stated set of 40 vectors, as the operator is for sets that are asked for whole."""
-    some = fx.raw(spark, sf_dir).where("idx < 40")
-    return _rounded(simjoin.pairwise_matrix(some, some))
-
-
 @_query(f"WITH v AS ({fx.RAW}) SELECT a.idx AS i, b.idx AS j, round(list_distance(a.v, b.v), 6) AS dist FROM v a CROSS JOIN v b")
-def pairwise_matrix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairwise_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix of the whole table."""
     r = fx.raw(spark, sf_dir)
     return _rounded(simjoin.pairwise_matrix(r, r))
@@ -138,6 +116,20 @@ def import_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simjoin.survivors(incoming.select("idx"), m)
 
 
+@_query(f"WITH {_SETS} SELECT rel_path, 'trash/' || rel_path AS target FROM v JOIN ({fx.MANIFEST}) man USING (idx) WHERE idx % 2 = 1 AND idx IN (SELECT i FROM m)")
+def move_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where an import's duplicates go."""
+    incoming, _, m = _sets(spark, sf_dir)
+    files = fx.manifest(spark, sf_dir).select("idx", "rel_path")
+    return simjoin.duplicates(incoming.select("idx"), m).join(files, "idx").select("rel_path", paths.trash_path("trash", F.col("rel_path")).alias("target"))
+
+
+@_query(f"SELECT rel_path, row_number() OVER (ORDER BY rel_path) - 1 AS idx FROM ({fx.MANIFEST})")
+def row_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number that each path of a store gets."""
+    return simjoin.with_idx(fx.manifest(spark, sf_dir), "rel_path", F.lit(0)).select("rel_path", "idx")
+
+
 @_query(f"WITH {_SETS} SELECT (SELECT count(*) FROM v WHERE idx % 2 = 1) AS processed, count(*) AS n_pairs, count(DISTINCT i) AS n_images FROM m")
 def import_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     incoming, _, m = _sets(spark, sf_dir)
@@ -191,11 +183,6 @@ def dup_groups_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.groups(simjoin.self_join(fx.planted_compat(spark, sf_dir), 0.1, compat_index_bug=True))
 
 
-@_query(f"WITH RECURSIVE {_led_sql(fx.PLANTED_COMPAT_ALL, 0.1, ' AND b.idx <> 2 * a.idx + 1')} SELECT leader, pos, member FROM groups")
-def dup_groups_compat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouping.groups(simjoin.self_join(fx.planted_compat_all(spark, sf_dir), 0.1, compat_index_bug=True))
-
-
 @_query(f"WITH RECURSIVE {_GROUPS} SELECT DISTINCT member AS idx FROM groups")
 def dup_marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.marked(_grouped(spark, sf_dir))
@@ -345,6 +332,14 @@ chunks AS (SELECT doc_id, part AS pos, string_agg(w, ', ' ORDER BY i) AS text FR
   UNION ALL SELECT doc_id, 0, '' FROM walk WHERE i = 1 AND part = 1 UNION ALL SELECT doc_id, 0, text FROM d WHERE n <= 75)"""
 
 
+_CAPTIONS = r"(SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM documents WHERE doc_id % 3 <> 0)"
+
+
+@_query(f"WITH RECURSIVE {_CHUNKS.replace('FROM documents', f'FROM {_CAPTIONS}')} SELECT 'dir_' || doc_id || e.ext AS file_name, text FROM chunks, (VALUES ('.jpg'), ('.PNG')) e(ext)")
+def metadata_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captions.metadata(captions.pairs(*_captioned(spark, sf_dir)))
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captions.chunks(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -358,8 +353,3 @@ def caption_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def caption_chunk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _chunks(spark, sf_dir)
     return c.agg(F.count("*").alias("n_rows"), F.count_distinct("doc_id").alias("n_captions"), F.count(F.when(F.col("text") == "", 1)).alias("n_empty"))
-
-
-@_query()
-def lsh_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(simjoin.self_join(fx.raw(spark, sf_dir), RAW_THRESHOLD, "lsh"))

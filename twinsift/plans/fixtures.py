@@ -36,18 +36,6 @@ PLANTED = f"{RAW} UNION ALL {_moved_sql(0, 0.05, 'vec_id + 1000000', 'vec_id % 7
 
 
 def planted_compat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contiguous idx 0..199 with copies at 2 i + 1 and 2 i + 3."""
-    r = raw(spark, sf_dir)
-    i = F.col("idx")
-    some = r.where((i >= 50) & (i < 100) & (i % 2 == 0))
-    return r.where((i < 100) | ((i < 200) & (i % 2 == 0))).unionAll(_moved(some, 0, 0.05, 2 * i + 1)).unionAll(_moved(some, 1, 0.05, 2 * i + 3))
-
-
-_SOME = "vec_id >= 50 AND vec_id < 100 AND vec_id % 2 = 0"
-PLANTED_COMPAT = f"{RAW} WHERE vec_id < 100 OR (vec_id < 200 AND vec_id % 2 = 0) UNION ALL {_moved_sql(0, 0.05, '2 * vec_id + 1', _SOME)} UNION ALL {_moved_sql(1, 0.05, '2 * vec_id + 3', _SOME)}"
-
-
-def planted_compat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All n vectors at their ranks i, and copies at 2 i + 1 and 2 i where those are n or more, else at 2 n + i: contiguous idx."""
     r = table(spark, sf_dir, "embeddings")
     n = r.count()
@@ -58,7 +46,7 @@ def planted_compat_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RANKED = "(SELECT row_number() OVER (ORDER BY vec_id) - 1 AS vec_id, embedding, count(*) OVER () AS n FROM embeddings)"
-PLANTED_COMPAT_ALL = f"{RAW} UNION ALL {_moved_sql(0, 0.05, '2 * vec_id + 1', '2 * vec_id + 1 >= n')} UNION ALL {_moved_sql(1, 0.05, '2 * vec_id', '2 * vec_id >= n')} UNION ALL {_moved_sql(0, 0.05, 'vec_id + 2 * n', '2 * vec_id + 1 < n')}".replace("FROM embeddings", f"FROM {_RANKED}")
+PLANTED_COMPAT = f"{RAW} UNION ALL {_moved_sql(0, 0.05, '2 * vec_id + 1', '2 * vec_id + 1 >= n')} UNION ALL {_moved_sql(1, 0.05, '2 * vec_id', '2 * vec_id >= n')} UNION ALL {_moved_sql(0, 0.05, 'vec_id + 2 * n', '2 * vec_id + 1 < n')}".replace("FROM embeddings", f"FROM {_RANKED}")
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,8 +1,11 @@
-"""Width, height and format of images from the first bytes of their content, whatever their names say."""
+"""Width, height and format of images from the first bytes of their content, whatever their names say; and whether the
+whole content is there: check() walks the parts that the format is made of, and decodes where Pillow can be imported."""
 
 from __future__ import annotations
 
+import io
 import struct
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -59,6 +62,95 @@ def probe(b: bytes | None) -> tuple[int, int, str]:
     raise ValueError("unknown format")
 
 
+def _whole_png(b: bytes) -> None:
+    at, data = 8, zlib.decompressobj()
+    seen = False
+    while True:
+        n, kind = struct.unpack(">I4s", b[at : at + 8])
+        body, crc = b[at + 8 : at + 8 + n], b[at + 8 + n : at + 12 + n]
+        if len(crc) < 4 or zlib.crc32(kind + body) != struct.unpack(">I", crc)[0]:
+            raise ValueError("broken PNG chunk")
+        if kind == b"IDAT":
+            data.decompress(body)
+            seen = True
+        if kind == b"IEND":
+            break
+        at += 12 + n
+    if not seen or not data.eof:
+        raise ValueError("PNG data end early")
+
+
+def _whole_jpeg(b: bytes) -> None:
+    if b.rstrip(b"\0")[-2:] != b"\xff\xd9" and b"\xff\xd9" not in b[-4096:]:
+        raise ValueError("JPEG has no end")
+    if b"\xff\xda" not in b:
+        raise ValueError("JPEG has no scan")
+
+
+def _whole_gif(b: bytes) -> None:
+    def table(flags: int) -> int:
+        return 3 << ((flags & 7) + 1) if flags & 0x80 else 0
+
+    def blocks(at: int) -> int:
+        while b[at]:
+            at += 1 + b[at]
+        return at + 1
+
+    at, images = 13 + table(b[10]), 0
+    while b[at] != 0x3B:
+        if b[at] == 0x21:
+            at = blocks(at + 2)
+        elif b[at] == 0x2C:
+            at, images = blocks(at + 11 + table(b[at + 9])), images + 1
+        else:
+            raise ValueError("unknown GIF block")
+    if not images:
+        raise ValueError("GIF without an image")
+
+
+def _whole_bmp(b: bytes) -> None:
+    if len(b) < struct.unpack("<I", b[2:6])[0] or len(b) < struct.unpack("<I", b[10:14])[0]:
+        raise ValueError("BMP ends early")
+
+
+def _whole_webp(b: bytes) -> None:
+    if len(b) < 8 + struct.unpack("<I", b[4:8])[0]:
+        raise ValueError("WebP ends early")
+    at, kinds = 12, set()
+    while at + 8 <= len(b):
+        kinds.add(b[at : at + 4])
+        n = struct.unpack("<I", b[at + 4 : at + 8])[0]
+        at += 8 + n + n % 2
+    if not kinds & {b"VP8 ", b"VP8L", b"ANMF"}:
+        raise ValueError("WebP without an image")
+
+
+_WHOLE = {"PNG": _whole_png, "JPEG": _whole_jpeg, "GIF": _whole_gif, "BMP": _whole_bmp, "WEBP": _whole_webp}
+
+
+def check(b: bytes | None) -> tuple[int, int, str]:
+    """probe(), and ValueError too where the content ends early or is broken."""
+    found = probe(b)
+    try:
+        _WHOLE[found[2]](b)
+    except (struct.error, IndexError, zlib.error) as e:
+        raise ValueError(f"broken {found[2]}: {e}") from e
+    pixels(b)
+    return found
+
+
+def pixels(b: bytes):
+    """The content as a decoded RGB image where Pillow can be imported, else the bytes themselves; ValueError where decoding fails."""
+    try:
+        from PIL import Image
+    except ImportError:
+        return b
+    try:
+        return Image.open(io.BytesIO(b)).convert("RGB")
+    except Exception as e:  # noqa: BLE001  whatever a decoder raises is the image's error
+        raise ValueError(f"{type(e).__name__}: {e}") from e
+
+
 def headers(files: DataFrame) -> DataFrame:
     """rel_path, width, height, format and _error of files (rel_path, content)."""
 
@@ -76,6 +168,23 @@ def headers(files: DataFrame) -> DataFrame:
     return files.select("rel_path", "content").mapInPandas(run, "rel_path string, width long, height long, format string, _error string")
 
 
+def checked(files: DataFrame) -> DataFrame:
+    """rel_path and _error of files (rel_path, content): what check() says against the whole content, null where nothing."""
+
+    def run(frames):
+        for f in frames:
+            out = []
+            for path, content in zip(f.rel_path, f.content, strict=True):
+                try:
+                    check(content)
+                    out.append((path, None))
+                except ValueError as e:
+                    out.append((path, str(e)))
+            yield pd.DataFrame(out, columns=["rel_path", "_error"])
+
+    return files.select("rel_path", "content").mapInPandas(run, "rel_path string, _error string")
+
+
 def valid(files: DataFrame) -> DataFrame:
     """Files whose header can be read; the others are in headers() with their _error."""
     return files.join(headers(files).where("_error IS NULL").select("rel_path", "width", "height", "format"), "rel_path")

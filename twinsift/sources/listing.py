@@ -1,7 +1,7 @@
 """Directory listing as a Spark data source.
 
 Spark's file sources skip names that begin with _ or . and cut times to milliseconds; this source lists every regular entry
-below a root, with times in nanoseconds. The root's folders are dealt over the tasks. The root must be visible to the
+below a root, with times in nanoseconds. Folders are dealt over the tasks, level by level until there are enough. The root must be visible to the
 executors, as for any file scan.
 """
 
@@ -11,6 +11,7 @@ import os
 import stat
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
@@ -27,6 +28,20 @@ def walk(root: str, recurse: bool = True):
             return
 
 
+#: Folders that the driver lists before it deals the tree over tasks, at least where there are so many.
+DEAL = 64
+
+
+def _dealt(root: str) -> tuple[list[str], list[str]]:
+    """Folders to list by themselves, and folders to walk: the tree is opened level by level until there are DEAL to walk."""
+    flat, deep = [root], [e.path for e in os.scandir(root) if e.is_dir(follow_symlinks=False)]
+    while deep and len(deep) < DEAL:
+        below = [e.path for f in deep for e in os.scandir(f) if e.is_dir(follow_symlinks=False)]
+        flat += deep
+        deep = below
+    return sorted(flat), sorted(deep)
+
+
 class _Folder(InputPartition):
     def __init__(self, start: str, recurse: bool):
         self.start, self.recurse = start, recurse
@@ -37,8 +52,8 @@ class _Reader(DataSourceReader):
         self.root, self.content = root, content
 
     def partitions(self):
-        folders = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        return [_Folder(self.root, False), *(_Folder(f, True) for f in folders)]
+        flat, deep = _dealt(self.root)
+        return [*(_Folder(f, False) for f in flat), *(_Folder(f, True) for f in deep)]
 
     def read(self, partition):
         for name, st in walk(partition.start, partition.recurse):
@@ -78,6 +93,27 @@ def manifest(spark: SparkSession, root: str, content: bool = False) -> DataFrame
     return spark.read.format("tree").option("content", str(content).lower()).load(os.path.abspath(root))
 
 
+def contents(files: DataFrame, root: str) -> DataFrame:
+    """files (rel_path and more) with content: only the files named are read, where they are named. content is null for one
+    that can't be read."""
+    root = os.path.abspath(root)
+
+    def run(frames):
+        import pyarrow as pa
+
+        for f in frames:
+            # one file at a time, so that no batch holds more than one
+            for k, rel in enumerate(f.column("rel_path").to_pylist()):
+                try:
+                    with open(os.path.join(root, rel), "rb") as g:
+                        got = g.read()
+                except OSError:
+                    got = None
+                yield pa.RecordBatch.from_arrays([*f.slice(k, 1).columns, pa.array([got], pa.binary())], [*f.schema.names, "content"])
+
+    return files.mapInArrow(run, files.withColumn("content", F.lit(None).cast("binary")).schema)
+
+
 def listed(spark: SparkSession, paths: list[str]) -> DataFrame:
     """rel_path and content of files that are named one by one; _error where one can't be read."""
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from twinsift.functions.paths import strip_suffix
 
+#: Fixed value: the name of the array in an archive.
 KEY = "clip_embedding"
 
 
