@@ -51,26 +51,44 @@ def test_substring_dedup(spark):
         assert len(brute.words(r.kept_text)) == r.n_words - r.n_removed
 
 
-def test_substring_dedup_heavy_prefixes(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "HEAVY", 3)
+@pytest.mark.parametrize("limit", [0, 2, 8])
+def test_substring_dedup_growing_prefixes(spark, limit):
+    """Prefixes that occur more often than the limit grow, some of them to the whole window."""
     docs = corpus(2)
-    # the threshold is read on the workers, so the pieces are run here
-    import pyarrow as pa
-    import zstandard
-
-    press = zstandard.ZstdCompressor()
-    table = lambda rows: pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "z": pa.array([press.compress((t or "").encode()) for _, t in rows], pa.binary())})
-    halves = {0: table(docs[::2]), 1: table(docs[1::2])}
-    sent = pa.concat_tables([substrings._send_keys(3)((pa.scalar(d),), t) for d, t in halves.items()])
-    pick = lambda t, c, v: t.filter(pa.compute.equal(t.column(c), v))
-    codes = pa.concat_tables([substrings._judge_keys(pick(sent, "k", k)) for k in range(3)])
-    suffixes = pa.concat_tables([substrings._send_suffixes(4)((pa.scalar(d),), halves[d], pick(codes, "d", d)) for d in halves])
-    groups = [pick(suffixes, "g", g) for g in range(4)]
-    bits = pa.concat_tables([substrings._grow_trees(g) for g in groups if g.num_rows])
-    both = pa.concat_tables([codes, bits])
-    out = pa.concat_tables([substrings._remove(4, False)((pa.scalar(d),), halves[d], pick(both, "d", d)) for d in halves])
-    got = [tuple(r[c] for c in ("doc_id", "n_words", "n_removed", "kept_sha256")) for r in out.to_pylist()]
-    assert sorted(got) == sorted(brute.substring_dedup(docs))
+    got = substrings.remove_repeats(frame(spark, docs), limit=limit).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(brute.substring_dedup(docs))
+
+
+def test_substring_dedup_of_a_joined_table(spark):
+    docs = corpus(6, 30)
+    left = frame(spark, docs).select("doc_id", "n_words")
+    right = frame(spark, docs).select("doc_id", "text")
+    got = substrings.remove_repeats(left.join(right, "doc_id")).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(brute.substring_dedup(docs))
+
+
+def test_subtree_nodes():
+    """Windows below a node of depth 13 - j with equal left words, against plain comparison."""
+    import numpy as np
+
+    r = random.Random(3)
+    stretches, places, least, windows = [], [], [], []
+    for i in range(300):
+        w = [r.choice("ab") for _ in range(13 + r.randrange(7))]
+        n = len(w) - 12
+        place = r.randint(n - 1, 6)
+        stretches.append(w)
+        places.append(place)
+        least.append(i // 2)
+        windows.append([(place - k, tuple(w[k : k + 13])) for k in range(n)])
+    raw = [" ".join(w).encode() for w in stretches]
+    bits, n = substrings.subtree(b"".join(raw), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), np.array(least), np.array(places))
+    first = {}
+    for d, own in zip(least, windows, strict=True):
+        for x in own:
+            first.setdefault(x, d)
+    assert n.tolist() == [len(x) for x in windows]
+    assert bits.tolist() == [first[x] < d for d, own in zip(least, windows, strict=True) for x in own]
 
 
 def test_substring_dedup_ties_nulls_empty(spark):

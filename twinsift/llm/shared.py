@@ -1,4 +1,4 @@
-"""What several operators need: tables cut from their lineage, and sizes from the plan."""
+"""What several operators need: tables cut from their lineage, and counted sizes."""
 
 from __future__ import annotations
 
@@ -14,9 +14,12 @@ SPLIT = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none (tests)."""
+    """The folder named by spark.checkpoint.dir; a temporary one only where the session names none and one machine runs all
+    (tests)."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = f"file://{tempfile.gettempdir()}/twinsift-{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -39,14 +42,14 @@ def drop_cut(df: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of df's bytes, without a job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame, text: str = "text") -> int:
+    """The bytes of a text column, counted."""
+    return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
-def parts(df: DataFrame, mb: float, least: int = 16) -> int:
-    """So many buckets that each has about mb MB of df; a count that follows the input."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2, -(-plan_bytes(df) // int(mb * 2**20)))
+def parts(spark: SparkSession, n_bytes: int, mb: float, least: int = 16) -> int:
+    """So many buckets that each has about mb MB of n_bytes; a count that follows the input."""
+    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-n_bytes // int(mb * 2**20)))
 
 
 def trimmed(c):
