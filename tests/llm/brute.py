@@ -2,7 +2,7 @@
 
 import hashlib
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 SPACE = " \t\n\x0b\x0c\r"
 WORD = re.compile("[^" + re.escape(SPACE) + "]+")
@@ -100,35 +100,6 @@ def patience(a, b):
     return sorted(solve(0, len(a), 0, len(b)))
 
 
-def line_dedup(docs, min_chars=50, align=patience):
-    """{doc_id: text left}; docs: {doc_id: text}."""
-    first = defaultdict(list)
-    for d in sorted(docs):
-        for x in set((docs[d] or "").split("\n")):
-            if words(x):
-                first[x].append(d)
-    out = {}
-    for d, t in docs.items():
-        lines = (t or "").split("\n")
-        partners = defaultdict(int)
-        for x in lines:
-            if words(x) and first[x][0] < d:
-                partners[first[x][0]] += len(x)
-        gone = set()
-        for p, chars in partners.items():
-            if chars < min_chars:
-                continue
-            run = []
-            for x, y in [*align(docs[p].split("\n"), lines), (-9, -9)]:
-                if run and (x, y) != (run[-1][0] + 1, run[-1][1] + 1):
-                    if sum(len(lines[v]) for _, v in run if words(lines[v])) >= min_chars:
-                        gone.update(v for _, v in run)
-                    run = []
-                run.append((x, y))
-        out[d] = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else t
-    return out
-
-
 def runs_left(docs, min_chars=50):
     """{doc_id: text without the lines in a run of min_chars that an earlier document holds}, each run tried with each document."""
     lines = {d: (t or "").split("\n") for d, t in docs.items()}

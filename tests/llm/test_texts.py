@@ -163,7 +163,7 @@ def test_line_dedup(spark):
     docs |= {50: "", 51: None, 52: docs[3], 53: docs[3], 54: "\n".join(line() for _ in range(3000)), 55: "\n\n\n"}
     docs[56] = docs[54]
     got = linedup.dedup_lines(frame(spark, list(docs.items()))).collect()
-    assert {x.doc_id: x.text for x in got} == brute.line_dedup(docs)
+    assert {x.doc_id: x.text for x in got} == brute.runs_left(docs)
     assert [x for x in got if x.doc_id == 53][0].text == ""
     assert got[0].asDict().keys() == {"doc_id", "text", "n_words", "kept", "n_lines", "n_removed", "n_partners"}
 
@@ -200,7 +200,24 @@ def test_patience_matches_plain_recursion():
         mine = [(x + i, y + i) for x, y, n in linedup.patience(a, b) for i in range(n)]
         assert all(a[x] == b[y] for x, y in mine)
         assert mine == sorted(set(mine)) and len({y for _, y in mine}) == len(mine)
-        assert len(mine) == len(brute.patience(a, b))
+        assert mine == brute.patience(a, b)
+
+
+def test_line_dedup_deals_a_hot_first_document(spark, monkeypatch):
+    monkeypatch.setattr(linedup, "PARTNERS", 3)
+    block = "a line that many documents hold and that is long\nand another one of them"
+    docs = {i: f"{block}\nown {i}" for i in range(40)}
+    got = {x.doc_id: (x.text, x.n_partners) for x in linedup.dedup_lines(frame(spark, list(docs.items()))).collect()}
+    assert got == {i: (f"own {i}", 1) if i else (docs[0], 0) for i in docs}
+
+
+def test_line_dedup_clashing_columns(spark):
+    t = "x" * 60
+    df = spark.createDataFrame([(1, t, "a", 5, "b"), (2, t + "\ny", "a", 6, "b")], "doc_id long, text string, n_removed string, n_lines long, `a.b` string")
+    got = {x.doc_id: x for x in linedup.dedup_lines(df).collect()}
+    assert got[2].text == "y" and got[2].n_removed == 1 and got[2]["a.b"] == "b"
+    rows = {x.row.doc_id: x for x in linedup.cleaned(df).collect()}
+    assert rows[2].row.n_removed == "a" and rows[2].row.n_lines == 6 and rows[2].n_lines == 2
 
 
 def test_line_dedup_nulls_repeats_empty(spark):
@@ -227,6 +244,12 @@ def test_quality(spark):
     assert (none.n_words, none.base_failed, none.kept) == (0, True, False)
 
 
+def test_quality_filter_works_words_out_once(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on it " * 9, "clash", "clash")], SCHEMA)
+    plan = quality.filter_documents(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
+
+
 def test_quality_plan_is_native(spark):
     plan = quality.query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

@@ -15,8 +15,10 @@ Lines are split at \\n and compared whole, by a 64-bit hash; a line of white spa
 links nothing. Alignments are judged on the input, not on what is left.
 
 Defined results: null and empty texts have no line to delete and stay as they are. Rows without id, and rows of one id,
-aren't linked with each other. Lines repeated within a document that no earlier one holds are kept. Extra columns pass through. An
-empty table gives an empty result.
+aren't linked with each other. Lines repeated within a document that no earlier one holds are kept. Very long texts are
+aligned whole, by numbers that stand for their lines. Of equally long alignments patience diff takes the one that is first
+from its end back; what goes in the end is the same for each. Extra columns pass through; cleaned() keeps any names apart, and dedup_lines()
+puts its own columns in the place of those with their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,30 +32,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm import textkit as T
+from twinsift.llm.shared import cut
 
 NAME = "op5_line_dedup"
-SQL = None
-
 MIN_CHARS = 50
+#: Later documents of one first document that a task aligns.
+PARTNERS = 2048
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest subsequence of pairs, in order of the first, whose seconds rise."""
+    """The longest subsequence of pairs, in order of the first, whose seconds rise; of equally long ones the one that is, from
+    its last pair back, first."""
+    piles: list[list[int]] = []
     tails: list[int] = []
-    at: list[int] = []
-    back: list[int] = []
     for k, (_, y) in enumerate(pairs):
         n = bisect_left(tails, y)
         if n == len(tails):
             tails.append(y)
-            at.append(k)
+            piles.append([k])
         else:
-            tails[n], at[n] = y, k
-        back.append(at[n - 1] if n else -1)
-    out, k = [], at[-1] if at else -1
-    while k >= 0:
-        out.append(pairs[k])
-        k = back[k]
+            tails[n] = y
+            piles[n].append(k)
+    out: list[tuple[int, int]] = []
+    for pile in reversed(piles):
+        # seconds fall along a pile: the first that is below the pair found last
+        at = bisect_left(pile, True, key=lambda k: not out or pairs[k][1] < out[-1][1])
+        out.append(pairs[pile[at]])
     return out[::-1]
 
 
@@ -154,10 +158,17 @@ def overlaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc_id, first, rarity and spans: line ranges [from, to) of the later document that align with the first."""
+    """doc_id, first, rarity and spans: line ranges [from, to) of the later document that align with the first.
+
+    A first document with many later ones is dealt over several tasks, PARTNERS of them each.
+    """
     lines = _lines(docs)
-    mine = overlaps(docs, min_chars).join(lines, "doc_id")
-    both = mine.join(lines.select(F.col("doc_id").alias("first"), F.col("hs").alias("other"), F.col("lens").alias("sizes")), "first")
+    links = cut(overlaps(docs, min_chars))
+    salts = links.groupBy("first").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
+    held = lines.select(F.col("doc_id").alias("first"), F.col("hs").alias("other"), F.col("lens").alias("sizes")).join(salts, "first")
+    held = held.select("first", "other", "sizes", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    mine = links.join(salts, "first").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).join(lines, "doc_id")
+    both = mine.join(held, ["first", "salt"])
 
     def run(frames):
         for f in frames:
@@ -171,33 +182,50 @@ def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return both.select("doc_id", "first", "rarity", "hs", "lens", "other", "sizes").mapInPandas(run, "doc_id long, first long, rarity double, spans array<struct<`from`:int,`to`:int>>")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """docs with the aligned blocks deleted from text, and with n_lines, n_removed and n_partners after its own columns."""
-    schema = docs.schema
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"))
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    marks = blocks(ids, min_chars).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.count("*").alias("n_partners"))
-    joined = own.join(marks.withColumnRenamed("doc_id", "id"), "id", "left").select("row.text", F.struct("row").alias("kept"), "spans", "n_partners")
+def cleaned(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """row, a struct of docs' columns with the aligned blocks deleted from text, and n_lines, n_removed and n_partners."""
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_own"), F.col("doc_id").cast("long").alias("_id"))
+    marks = blocks(docs.select("doc_id", "text"), min_chars).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("_spans"), F.count("*").alias("_n"))
+    d = own.join(marks.withColumnRenamed("doc_id", "_id"), "_id", "left")
+    none = F.array().cast("array<int>")
+    gone = F.array_distinct(F.flatten(F.transform("_spans", lambda x: F.sequence(x["from"], x["to"] - 1))))
+    text = F.col("_own.text")
+    d = d.select("_own", text.alias("_text"), F.split(text, "\n", -1).alias("_lines"), F.coalesce(gone, none).alias("_gone"), "_n")
+    # by places: the lines are looked at once, however many go
+    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
+    new = F.when(F.size("_gone") == 0, F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
+    row = F.struct(*[new.alias(c) if c == "text" else F.col(f"_own.`{c}`").alias(c) for c in docs.columns])
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return d.select(row.alias("row"), count(F.size("_lines")).alias("n_lines"), count(F.size("_gone")).alias("n_removed"), count(F.col("_n")).alias("n_partners"))
 
-    def run(frames):
-        for f in frames:
-            texts, spans = f.column("text"), f.column("spans")
-            new, lines, gone = [], [], []
-            for t, s in zip(texts, spans, strict=True):
-                t, s = t.as_py(), s.as_py()
-                parts = [] if t is None else t.split("\n")
-                cut_ = {k for x in s or () for k in range(x["from"], x["to"])}
-                new.append("\n".join(p for k, p in enumerate(parts) if k not in cut_) if cut_ else t)
-                lines.append(len(parts))
-                gone.append(len(cut_))
-            yield pa.RecordBatch.from_arrays([pa.array(new, pa.string()), f.column("kept"), pa.array(lines, pa.int64()), pa.array(gone, pa.int64()), f.column("n_partners")], ["text", "kept", "n_lines", "n_removed", "n_partners"])
-
-    out_schema = joined.select(F.col("text"), "kept", F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"), F.col("n_partners")).schema
-    out = joined.mapInArrow(run, out_schema)
-    cols = [F.col("text").alias(c) if c == "text" else F.col(f"kept.row.`{c}`").alias(c) for c in schema.names]
-    return out.select(*cols, F.col("n_lines").alias("n_lines"), F.col("n_removed").alias("n_removed"), F.coalesce("n_partners", F.lit(0).cast("long")).alias("n_partners"))
+
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """docs with the aligned blocks deleted from text, and with n_lines, n_removed and n_partners, which replace columns of
+    these names."""
+    stats = ["n_lines", "n_removed", "n_partners"]
+    return cleaned(docs, min_chars).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in stats], *stats)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "n_partners", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+_CHARS = r"CASE WHEN regexp_matches(x, '[^\x20\x09-\x0D]') THEN length(x) ELSE 0 END"
+SQL = f"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents),
+one AS (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM d WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+c AS (SELECT doc_id, i, sum({_CHARS}) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM one),
+p AS (SELECT doc_id, i, c, coalesce(lag(c) OVER (PARTITION BY doc_id ORDER BY i), 0) AS b FROM c),
+ends AS (SELECT doc_id, c, min(i) AS t FROM p GROUP BY ALL), heads AS (SELECT doc_id, b, max(i) AS s FROM p GROUP BY ALL),
+w AS (SELECT p.doc_id, p.i AS s, e.t FROM p ASOF JOIN ends e ON p.doc_id = e.doc_id AND p.b + {MIN_CHARS} <= e.c
+  UNION SELECT p.doc_id, h.s, p.i FROM p ASOF JOIN heads h ON p.doc_id = h.doc_id AND p.c - {MIN_CHARS} >= h.b),
+run AS (SELECT w.doc_id, s, t, array_to_string(list_slice(ls, s, t), chr(10)) AS x FROM w JOIN d USING (doc_id)),
+hit AS (SELECT * FROM (SELECT *, min(doc_id) OVER (PARTITION BY x) AS first FROM run) WHERE first < doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(s, t)) AS i FROM hit),
+g AS (SELECT doc_id, list(i) AS gone, count(*) AS n FROM gone GROUP BY doc_id),
+q AS (SELECT doc_id, count(DISTINCT first) AS n FROM hit GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, coalesce(q.n, 0)::BIGINT AS n_partners,
+  sha256(CASE WHEN g.n IS NULL THEN coalesce(text, '') ELSE array_to_string([y FOR y, i IN ls IF NOT list_contains(gone, i)], chr(10)) END) AS text_sha256
+FROM d LEFT JOIN g USING (doc_id) LEFT JOIN q USING (doc_id)
+"""

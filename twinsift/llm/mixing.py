@@ -8,8 +8,10 @@ of that order until the block's share of the token budget is met. A random offse
 at the edge, so that small blocks are right in the mean. No source meets in one task, whatever its size.
 
 Tokens are words. Defined results: a null source counts as ''. Null and empty texts have 0 tokens and go with their
-block. A source without tokens is taken once. Repeated rows count as often as they occur. Extra columns pass
-through. An empty table gives an empty result.
+block. A source without tokens is taken once. Repeated rows count as often as they occur. Documents of
+equal hash in a block are taken in any order, which can't be told from the result. Very long texts are counted whole and
+never cut. Extra columns pass through; taken() keeps any names apart, and mix() puts its own columns in the place of those with
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ MAX_EPOCHS = 2.0
 SEED = 17
 #: Sources up to this many are sent to every task; more are joined by a shuffle.
 BROADCAST_SOURCES = 10_000
+SALTS = 64
 
 
 def tokens_of(text="text"):
@@ -78,8 +81,9 @@ def find_exponent(sources: DataFrame, total: float, entropy: float | None = None
     return high
 
 
-def mix(docs: DataFrame, entropy: float | None = None, max_epochs: float | None = MAX_EPOCHS, budget: float | None = None, seed: int = SEED) -> DataFrame:
-    """docs' rows as often as their source's weight asks, with n_tokens, weight, epochs, epoch, block_order and position.
+def taken(docs: DataFrame, entropy: float | None = None, max_epochs: float | None = MAX_EPOCHS, budget: float | None = None, seed: int = SEED) -> DataFrame:
+    """row, a struct of docs' columns, as often as its source's weight asks, with n_tokens, weight, epochs, epoch, block_order
+    and position.
 
     Without a budget (in tokens) the mix is the smallest that holds every document once at least. block_order and position
     give the order in which the blocks and their documents are taken.
@@ -100,7 +104,12 @@ def mix(docs: DataFrame, entropy: float | None = None, max_epochs: float | None
         weight, epochs = F.lit(0.0), F.lit(1.0)
     # what rounding leaves within 1e-9 of a whole number is one
     weights = sources.select(F.col("_source").alias("source"), weight.alias("weight"), F.when(F.abs(epochs - F.round(epochs)) < 1e-9, F.round(epochs)).otherwise(epochs).alias("epochs"))
-    d = d.join(F.broadcast(weights) if n_sources <= BROADCAST_SOURCES else weights, "source")
+    if n_sources <= BROADCAST_SOURCES:
+        d = d.join(F.broadcast(weights), "source")
+    else:
+        # a source of any size is dealt over SALTS tasks
+        d = d.withColumn("_salt", F.pmod("_h", F.lit(SALTS)).cast("int"))
+        d = d.join(weights.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["source", "_salt"])
     blocks = max(1, -(-n_docs // BLOCK))
     d = d.withColumn("_block", F.pmod("_h", F.lit(blocks)))
     last = F.floor("epochs").cast("int")
@@ -114,7 +123,13 @@ def mix(docs: DataFrame, entropy: float | None = None, max_epochs: float | None
     rows = F.row_number().over(w) - 1 + offset < (F.col("epochs") - last) * F.count("*").over(Window.partitionBy("source", "_block"))
     d = d.withColumn("_n", last + F.when(whole > 0, more).otherwise(rows).cast("int")).where("_n > 0")
     d = d.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    return d.select(*[F.col(f"_row.`{c}`").alias(c) for c in names], F.col("_tokens").alias("n_tokens"), "weight", "epochs", "epoch", F.xxhash64("source", "_block", "epoch", F.lit(seed)).alias("block_order"), F.xxhash64("_h", "epoch").alias("position"))
+    return d.select(F.col("_row").alias("row"), F.col("_tokens").alias("n_tokens"), "weight", "epochs", "epoch", F.xxhash64("source", "_block", "epoch", F.lit(seed)).alias("block_order"), F.xxhash64("_h", "epoch").alias("position"))
+
+
+def mix(docs: DataFrame, *args, **options) -> DataFrame:
+    """taken() with docs' columns apart; its own columns replace those with their names."""
+    own = ["n_tokens", "weight", "epochs", "epoch", "block_order", "position"]
+    return taken(docs, *args, **options).select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in own], *own)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

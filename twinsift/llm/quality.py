@@ -5,7 +5,7 @@ table into one boolean column. Nothing is shuffled: every count is worked out in
 
 Defined results: a null, empty or white-space text has no words, all counts 0, base_failed true and kept false. Repeated
 rows and repeated ids are judged each by itself. Extra columns are left out of the result; a clashing name
-among them (such as n_words) is not read. An empty table gives an empty result.
+among them (such as n_words) is not read. Very long texts are measured whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -73,44 +73,67 @@ def _repeated(words: Column, n: Column) -> Column:
     return _let(windows, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0).cast("long")).otherwise(_let(places(w), covered)))
 
 
+def _words(t: Column) -> Column:
+    bare = trimmed(t)
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPLIT, -1))
+
+
+def _lines(t: Column) -> Column:
+    return F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _counts(t: Column, w: Column, lines: Column) -> list[Column]:
+    """The counts of a text, its words and its lines, by name."""
+    n = F.size(w).cast("long")
+    found = {
+        "n_words": n,
+        "word_chars": F.length(F.translate(t, WHITE, "")),
+        "n_symbols": F.length(t) - F.length(F.translate(t, SYMBOLS, "")),
+        "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
+        "n_repeat_words": F.when(n < WINDOW + 1, F.lit(0).cast("long")).otherwise(_repeated(w, n)),
+        "n_lines": F.size(lines),
+        "n_stop_words": F.size(F.filter(w, lambda x: x.isin(_WRITTEN))),
+        "n_bullet_lines": F.size(F.filter(lines, lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]"))),
+        "n_ellipsis_lines": F.size(F.filter(lines, lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$"))),
+    }
+    return [c.cast("long").alias(name) for name, c in found.items()]
+
+
 def measures(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
     """The columns named in keep, and the counts of each text."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    bare = trimmed(t)
-    step = df.select(*keep, t.alias("_t"), F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPLIT, -1)).alias("_w"))
-    step = step.select(*keep, "_t", "_w", F.size("_w").cast("long").alias("n_words"), F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("_l"))
-    squeezed = F.translate(F.col("_t"), WHITE, "")
-    count = lambda c: c.cast("long")
-    return step.select(
-        *keep,
-        "n_words",
-        count(F.length(squeezed)).alias("word_chars"),
-        count(F.length("_t") - F.length(F.translate(F.col("_t"), SYMBOLS, ""))).alias("n_symbols"),
-        count(F.size("_l") - F.size(F.array_distinct("_l"))).alias("n_dup_lines"),
-        F.when(F.col("n_words") < WINDOW + 1, F.lit(0).cast("long")).otherwise(_repeated(F.col("_w"), F.col("n_words"))).alias("n_repeat_words"),
-        count(F.size("_l")).alias("n_lines"),
-        count(F.size(F.filter(F.col("_w"), lambda w: w.isin(_WRITTEN)))).alias("n_stop_words"),
-        count(F.size(F.filter(F.col("_l"), lambda x: x.rlike(r"^[\x20\x09-\x0D]*[-*•]")))).alias("n_bullet_lines"),
-        count(F.size(F.filter(F.col("_l"), lambda x: x.rlike(r"(\.\.\.|…)[\x20\x09-\x0D]*$")))).alias("n_ellipsis_lines"),
-    )
-
-
-def failed_base() -> Column:
-    return (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-
-
-def failing(rules=RULES) -> Column:
-    """Names of the rules that a row of measures() breaks."""
+    step = df.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_t"))
+    step = step.select(*keep, "_t", _words(F.col("_t")).alias("_w"), _lines(F.col("_t")).alias("_l"))
+    return step.select(*keep, *_counts(F.col("_t"), F.col("_w"), F.col("_l")))
+
+
+def failed_base(m=F.col) -> Column:
+    return (m("n_words") < 20) | (100 * m("n_repeat_words") > 30 * m("n_words"))
+
+
+def failing(rules=RULES, m=F.col) -> Column:
+    """Names of the rules that a row of measures() breaks; m gives a measure by name."""
     out = []
     for name, top, bottom, least, most in rules:
         # least <= top / bottom <= most as products: exact, and no division by 0
-        low = F.lit(False) if least is None else F.col(top) < F.lit(float(least)) * (F.lit(1.0) if bottom is None else F.col(bottom))
-        high = F.lit(False) if most is None else F.col(top) > F.lit(float(most)) * (F.lit(1.0) if bottom is None else F.col(bottom))
-        some = F.lit(True) if bottom is None else F.col(bottom) > 0
+        low = F.lit(False) if least is None else m(top) < F.lit(float(least)) * (F.lit(1.0) if bottom is None else m(bottom))
+        high = F.lit(False) if most is None else m(top) > F.lit(float(most)) * (F.lit(1.0) if bottom is None else m(bottom))
+        some = F.lit(True) if bottom is None else m(bottom) > 0
         out.append(F.when(some & (low | high), F.lit(name)))
     return F.array_compact(F.array(*out))
 
 
+def passes(text: Column, rules=RULES) -> Column:
+    """judge()'s kept as one condition. Words, lines and counts are bound by name inside it, so that no optimizer rule can
+    write them out again for each use."""
+    t = F.coalesce(text, F.lit(""))
+
+    def verdict(m: Column) -> Column:
+        get = lambda name: m[name]
+        return ~failed_base(get) & (F.size(failing(rules, get)) == 0)
+
+    return _let(F.struct(t.alias("t"), _words(t).alias("w"), _lines(t).alias("l")), lambda x: _let(F.struct(*_counts(x["t"], x["w"], x["l"])), verdict))
+
+
 def judge(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",), rules=RULES) -> DataFrame:
     """measures() with base_failed, failed_rules (array of names) and kept."""
     m = measures(df, text, keep).withColumn("base_failed", failed_base()).withColumn("failed_rules", failing(rules))
@@ -119,10 +142,7 @@ def judge(df: DataFrame, text: str = "text", keep: Sequence[str] = ("doc_id",),
 
 def filter_documents(df: DataFrame, rules=RULES) -> DataFrame:
     """The rows of df that judge() keeps, with df's columns."""
-    names = df.columns
-    boxed = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), F.col("text").alias("_text"))
-    kept = judge(boxed, "_text", ("_row",), rules).where("kept")
-    return kept.select(*[F.col(f"_row.`{c}`").alias(c) for c in names])
+    return df.where(passes(F.col("text"), rules))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
