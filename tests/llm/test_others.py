@@ -97,13 +97,41 @@ def test_top_k(spark, monkeypatch):
     assert topk.top_k(v.limit(0), v.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("size", [2.0**-4, 3e5, 5e6, 1.3e7])
+def test_top_k_is_exact_at_any_size(spark, size):
+    """Doubles, 64-bit integers, and Python's integers; the scores are those of plain Python."""
+    import numpy as np
+
+    r = random.Random(8)
+    rows = [(i, [float(np.float32(r.choice([-1, 1]) * size * r.random())) for _ in range(16)]) for i in range(60)]
+    rows += [(60 + i, rows[5][1]) for i in range(30)]
+    v = topk.whole_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = sorted(tuple(x) for x in topk.top_k(v, v.where("vec_id % 20 = 0")).collect())
+    whole = {i: [math.floor(64 * x) for x in e] for i, e in rows}
+    want = []
+    for q in whole:
+        if q % 20 == 0:
+            score = sorted((-sum(a * b for a, b in zip(whole[q], whole[c], strict=True)), c) for c in whole if c != q)
+            want += [(q, k + 1, c, -s) for k, (s, c) in enumerate(score[:20])]
+    assert got == sorted(want)
+
+
+def test_top_k_says_what_it_cannot_hold(spark):
+    huge = spark.createDataFrame([(i, [1e9, 1e9]) for i in range(0, 60, 20)], "vec_id long, embedding array<double>")
+    v = topk.whole_vectors(huge)
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(v, v).collect()
+    with pytest.raises(Exception, match="64 bits"):
+        topk.whole_vectors(spark.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>")).collect()
+
+
 def test_search_prunes_and_stays_exact():
     import numpy as np
 
     r = np.random.default_rng(1)
     c = (r.normal(size=(3000, 32)) * np.linspace(60, 1, 32)).astype(np.int64)
     q = (r.normal(size=(20, 32)) * np.linspace(60, 1, 32)).astype(np.int64)
-    a, b, s = topk.search(np.arange(20) + 10**6, q, np.arange(3000)[::-1].copy(), c, np.full(20, -(2**49)))
+    a, b, s = topk.search(np.arange(20) + 10**6, q, np.arange(3000)[::-1].copy(), c, np.zeros(20, np.int64), np.zeros(20, bool))
     full = q @ c.T
     for i in range(20):
         want = sorted((-full[i, j], 2999 - j) for j in range(3000))[:20]
