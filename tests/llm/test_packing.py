@@ -84,7 +84,7 @@ def test_genetic_steps_keep_every_item():
     rng = np.random.default_rng(3)
     lens = rng.integers(1, 1500, 400).tolist()
     for seed in range(3):
-        bins = packing.evolve(lens, seed, generations=3)
+        bins = packing.evolve(lens, seed, stall=3)
         assert sorted(i for b in bins for i in b) == list(range(400))
         assert max(sum(lens[i] for i in b) for b in bins) <= packing.CAPACITY
     import random
@@ -96,3 +96,42 @@ def test_genetic_steps_keep_every_item():
     hard = [1100] * 7 + [900] * 7
     assert len(packing.evolve(hard, 1)) == 7
     assert pd.Series([len(b) for b in packing.evolve([2047, 1, 2046, 2], 0)]).tolist() == [2, 2]
+
+
+def triplets(seed, n=40):
+    """Pieces that fill n sequences exactly, three in each."""
+    r = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        a = int(r.integers(520, 850))
+        b = int(r.integers(520, min(850, packing.CAPACITY - a - 400)))
+        out += [a, b, packing.CAPACITY - a - b]
+    return r.permutation(out).tolist()
+
+
+def test_evolution_beats_best_fit_decreasing():
+    for seed in range(4):
+        lens = triplets(seed)
+        plain, found = packing.best_fit_decreasing(lens), packing.evolve(lens, seed, stall=20)
+        assert sorted(i for b in found for i in b) == list(range(len(lens)))
+        assert max(sum(lens[i] for i in b) for b in found) <= packing.CAPACITY
+        assert 40 <= len(found) < len(plain)
+
+
+def test_migration_hands_on_the_better_packing():
+    lens = triplets(9)
+    good = packing.evolve(lens, 1, stall=20)
+    assert len(packing.evolve(lens, 2, [packing.best_fit_decreasing(lens), good], stall=0)) == len(good) < len(packing.best_fit_decreasing(lens))
+
+
+def test_another_tokenizer(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert not packing._wordwise(tokenizers.Tokenizer.from_file(path))
+    assert packing._wordwise(tokenizers.Tokenizer.from_file(packing.default_tokenizer()))
+    t = tokenizers.Tokenizer.from_file(path)
+    docs = spark.createDataFrame([(i, x, "clash") for i, x in enumerate(ODD)], SCHEMA)
+    got = {r.doc_id: r.ids for r in packing.tokenized(docs, path, ids=True).collect()}
+    assert got == {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in enumerate(ODD)}
+    check(packing.pack(docs, path).collect())

@@ -107,6 +107,22 @@ def test_near_duplicates(spark, k):
     assert sorted(tuple(r) for r in got) == sorted(brute.near_duplicates(docs, k))
 
 
+def test_near_duplicates_two_families_in_tiles(spark, monkeypatch):
+    """Two families that share bands but no link, in blocks of a few members."""
+    monkeypatch.setattr(neardup, "BLOCK", 7)
+    r = random.Random(6)
+    base = [f"w{r.randrange(10**6)}" for _ in range(100)]
+    docs = []
+    for i in range(60):
+        v = list(base)
+        if i % 2:
+            v[80:] = [f"x{k}" for k in range(20)]
+        v[r.randrange(75)] = f"n{i}"
+        docs.append((i, " ".join(v)))
+    got = neardup.near_duplicates(frame(spark, docs)).collect()
+    assert sorted(tuple(x) for x in got) == sorted(brute.near_duplicates(docs))
+
+
 def test_near_duplicates_chain_and_hot_group(spark, monkeypatch):
     """A chain of near copies whose ends aren't alike, and many copies of two families that share bands."""
     r = random.Random(5)

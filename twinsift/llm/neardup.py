@@ -8,12 +8,13 @@ SLACK below the threshold (4.5 standard errors: a chance of 3e-6, as for the ban
 
 A bucket is not expanded into pairs. Each member is held against its buckets' smallest ids, best estimate first;
 then, in buckets whose members are still in different components, members outside the largest component are held
-against all of the other components, within the bucket's task, and only confirmed links leave it. So the components
+against all of the other components, in tiles of two blocks of members, and only confirmed links leave a tile. So the components
 are those of all confirmed candidates. Two texts of similarity 0.8 share no band with a chance of 3e-6.
 
 Defined results: null, empty and white-space texts have no shingles, are linked with nothing and are kept. Rows of
-one id are one node. A row without id is linked with nothing and kept, its component null. Extra columns are left
-out. An empty table gives an empty result.
+one id are one node, and ties go to the smallest id. Very long texts are whole sets; a worker holds those of one batch of
+some MB, or of one such text. A row without id is linked with nothing and kept, its component null. Extra columns are left
+out, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,14 +27,14 @@ from pyspark.sql import functions as F
 
 from twinsift.llm import textkit as T
 from twinsift.llm.components import components
-from twinsift.llm.shared import cut
+from twinsift.llm.shared import cut, parts
 
 NAME = "op4_minhash_near_dedup"
 
 BANDS, ROWS, BITS = 32, 5, 4
 SLACK = 0.15
-#: Members of a bucket that are compared in one task, when it holds several components, and pairs at a time.
-BLOCK, PAIRS = 2048, 200_000
+#: Members of a block, when a bucket holds several components, pairs at a time, and MB of a task's packed texts.
+BLOCK, PAIRS, TASK_MB = 2048, 200_000, 32
 
 _N = BANDS * ROWS
 _A = (T.mix(np.arange(1, _N + 1, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -186,30 +187,31 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
 def _between(least: float, words: int, percent: int):
     """Confirmed links between different components of a bucket.
 
-    A table holds whole (key, salt) buckets, many of them. Members outside a bucket's largest component are held against
-    its other components; pairs are made as positions, PAIRS at a time, and a candidate counts only in the first band that its
+    A table holds tiles, many of them: a block of the members outside a bucket's largest component (role 0) and a block of
+    all its members (role 1). Pairs are made as positions, PAIRS at a time, and a candidate counts only in the first band that its
     members share, so once in all. Best estimate first, candidates whose components haven't met yet are compared on
     full sets; only links leave."""
 
     def run(table):
         sig = table.column("sig").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
         bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), -1)
-        key, salt, ids, comp, big = (table.column(c).to_numpy() for c in ("key", "salt", "id", "component", "largest"))
-        order = np.lexsort((salt, key))
-        sig, bands, key, salt, ids, comp, big = (x[order] for x in (sig, bands, key, salt, ids, comp, big))
-        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))
-        size = np.diff(np.append(first, len(ids)))
-        odd = np.flatnonzero(comp != big)
-        bucket = np.searchsorted(first, odd, "right") - 1
-        ends = np.cumsum(size[bucket])
+        key, bx, by, role, ids, comp, big = (table.column(c).to_numpy() for c in ("key", "bx", "by", "role", "id", "component", "largest"))
+        order = np.lexsort((role, by, bx, key))
+        sig, bands, key, bx, by, role, ids, comp, big = (x[order] for x in (sig, bands, key, bx, by, role, ids, comp, big))
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bx[1:] != bx[:-1]) | (by[1:] != by[:-1])]))
+        odd = np.flatnonzero(role == 0)
+        tile = np.searchsorted(first, odd, "right") - 1
+        n_odd = np.bincount(tile, minlength=len(first))
+        start, size = first + n_odd, np.diff(np.append(first, len(ids))) - n_odd
+        ends = np.cumsum(size[tile])
         found, at = [(odd[:0], odd[:0], np.zeros(0))], 0
         while at < len(odd):
             to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
-            n = size[bucket[at:to]]
+            n = size[tile[at:to]]
             x = np.repeat(odd[at:to], n)
-            y = np.repeat(first[bucket[at:to]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            # members outside the largest component are in every salt, and both ends of a pair can be
-            apart = (comp[x] != comp[y]) & ((comp[y] == big[y]) | (salt[x] == 0) & (ids[x] < ids[y]))
+            y = np.repeat(start[tile[at:to]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+            # a pair with both ends outside the largest component is made twice
+            apart = (comp[x] != comp[y]) & ((comp[y] == big[y]) | (ids[x] < ids[y]))
             x, y = x[apart], y[apart]
             est = _estimates(sig[x], sig[y])
             near = est >= least
@@ -222,9 +224,10 @@ def _between(least: float, words: int, percent: int):
         press, texts, sets, root, out = zstandard.ZstdDecompressor(), table.column("z"), {}, {}, []
 
         def held(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = _set(press, texts[int(order[i])].as_py(), words)
-            return sets[i]
+            k = int(ids[i])
+            if k not in sets:
+                sets[k] = _set(press, texts[int(order[i])].as_py(), words)
+            return sets[k]
 
         def top(c: int) -> int:
             while root.get(c, c) != c:
@@ -288,14 +291,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # a bucket of two is one pair with its smallest id, and that has been tested
     wide = shared.where("n > 2").select("id", "key")
-    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     named = wide.join(label.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-    open_ = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("component", "n").alias("largest"), F.sum("n").alias("total")).where("kinds > 1")
-    rows = named.join(open_, "key").withColumn("salts", F.ceil(F.col("total") / BLOCK).cast("int"))
-    salts = F.when(F.col("component") == F.col("largest"), F.array(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("salts") - 1))
-    rows = rows.select("id", "key", "component", "largest", F.explode(salts).alias("salt")).join(texts, "id")
-    part = F.pmod(F.xxhash64("key", "salt"), F.lit(tasks)).alias("part")
+    open_ = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("component", "n").alias("largest"), F.sum("n").alias("total"), F.max("n").alias("most")).where("kinds > 1")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    rows = named.join(open_, "key").withColumns({"nx": blocks(F.col("total") - F.col("most")), "ny": blocks(F.col("total"))})
+    dealt = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    side = lambda role, x, y: rows.select("id", "key", "component", "largest", F.lit(role).alias("role"), x.alias("bx"), y.alias("by"))
+    roles = side(0, dealt("nx"), every("ny")).where("component <> largest").unionAll(side(1, every("nx"), dealt("ny")))
+    rows = cut(roles.withColumn("bx", F.explode("bx")).withColumn("by", F.explode("by")))
+    # so many tasks that each holds some TASK_MB of packed texts
+    held = rows.join(texts.select("id", (F.octet_length("z") + 8 * (BANDS + _N * BITS // 64)).alias("b")), "id").agg(F.sum("b")).first()[0] or 0
+    tasks = parts(docs.sparkSession, held, TASK_MB)
+    rows = rows.join(texts, "id")
+    part = F.pmod(F.xxhash64("key", "bx", "by"), F.lit(tasks)).alias("part")
     last = cut(rows.groupBy(part).applyInArrow(_between(least, words, percent), "id long, m long"))
     if not last.isEmpty():
         label = joined(label, last)

@@ -2,24 +2,29 @@
 
 Pieces are dealt at random into groups of about GROUP pieces. ISLANDS islands work on each group, each with its own
 population of packings. Crossover injects whole well-filled bins of one parent into the other, drops the bins that
-then hold a document twice, and best-fits the documents displaced by that; mutation does so with the emptiest bins.
-After each epoch every island hands its best packing to the next one of its group. An island stops as soon as it
-meets the lower bound on bins. Bins that stay loosely filled are opened again and their pieces pooled over the
+then hold a document twice, swaps documents displaced by that into bins that they fill better, and best-fits the rest;
+mutation does so with the emptiest bins. After each epoch every island hands its best packing to the next one of its group.
+An island stops as soon as it meets the lower bound on bins, which best-fit decreasing alone often does, or after STALL
+generations without a bin less. Bins that stay loosely filled are opened again and their pieces pooled over the
 groups, level after level, so that groups cost next to nothing in bins.
 
-Token ids never leave the Python worker unless asked for: a piece is its length and checksum. Words are looked up by
-hash in a table that each worker fills through the tokenizer's own model, in bounded size.
+Token ids never leave the Python worker unless asked for: a piece is its length and checksum. Where the tokenizer's file says
+that it cuts at white space in the known way, words are looked up by hash in a table that each worker fills through the
+tokenizer's own model, in bounded size; any other tokenizer is given whole texts.
 
 Defined results: null and empty texts are documents of id 0 alone. Repeated rows are packed as often as they occur.
-Very long texts are cut into whole sequences and a rest. Extra columns are left out. An empty table gives an
-empty result.
+Very long texts are cut into whole sequences and a rest. Extra columns are left out, whatever their names.
+Pieces of equal length are interchangeable: which goes where is settled by a hash of their row numbers. An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import zlib
+from bisect import bisect_right, insort
 
 import numpy as np
 import pandas as pd
@@ -37,8 +42,11 @@ CAPACITY = 2048
 GROUP = 4096
 ISLANDS = 2
 EPOCHS = 2
-GENERATIONS = 4
-POPULATION = 4
+#: Generations in a row without a bin less that end an island's epoch.
+STALL = 8
+POPULATION = 6
+#: Bins that a child tries to fill better by swaps.
+TRIES = 64
 #: Bins filled less than this are opened again at the next level.
 LOOSE = 0.98
 #: Words that a worker remembers.
@@ -54,13 +62,38 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: How a tokenizer must prepare texts for _Words to hold, as its file says it.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+
+
+def _wordwise(tokenizer) -> bool:
+    """Whether the tokenizer cuts at white space in the way that _Words takes for granted."""
+    told = json.loads(tokenizer.to_str())
+    steps = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    byte = [x for x in steps[1:] if x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"]]
+    same = steps[0].get("pattern") == _SPLIT and steps[0].get("invert") is True and len(byte) == len(steps) - 1 == 1
+    return same and told["normalizer"] == _NORMALIZER and told["model"]["type"] == "BPE" and not told["model"]["dropout"]
+
+
+class _Texts:
+    """Ids of whole texts, as the tokenizer itself gives them; for any tokenizer."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def of(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        raw = buf.tobytes()
+        texts = [raw[i:j].decode("utf-8", "replace") for i, j in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+        lists = [np.array([*e.ids, 0], np.uint32) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *lists]), np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int64)
+
+
 class _Words:
     """Ids of words by hash. A text's ids are those of its words in a row: the tokenizer cuts at white space."""
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
         self.model = self.tokenizer.model
         odd = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255)]
         self.letters = {b: chr(b) for b in range(256)} | {b: chr(256 + i) for i, b in enumerate(odd)}
@@ -110,7 +143,14 @@ class _Words:
         return ids, np.concatenate([[0], ends[docs[1:] + np.arange(len(off) - 1)]])
 
 
-_words: dict[str, _Words] = {}
+def _reader(path: str) -> _Words | _Texts:
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    return _Words(tokenizer) if _wordwise(tokenizer) else _Texts(tokenizer)
+
+
+_words: dict[str, _Words | _Texts] = {}
 
 
 def tokenized(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -119,8 +159,9 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * ids
 
     def run(batches):
-        words = _words.setdefault(path, None) or _Words(path)
-        _words[path] = words
+        if path not in _words:
+            _words[path] = _reader(path)
+        words = _words[path]
         for whole in batches:
             for part in T.batches(whole, "text"):
                 tokens, at = words.of(*T.flat(part.column("text")))
@@ -177,61 +218,98 @@ def _fitness(bins, lens, capacity) -> tuple[int, float]:
     return len(bins), -sum((sum(lens[i] for i in b) / capacity) ** 2 for b in bins)
 
 
+def _swap(bins: list[list[int]], displaced: list[int], lens, capacity, rng) -> None:
+    """Displaced pieces take the place of one or two smaller ones, or two of two, wherever that fills a bin better; what
+    they replace is displaced instead. Some bins are tried, the last pieces of each against those displaced."""
+    free = sorted((lens[i], i) for i in displaced)
+    for b in rng.sample(range(len(bins)), min(len(bins), TRIES)):
+        items = bins[b]
+        load = sum(lens[i] for i in items)
+        while load < capacity and free:
+            last = sorted(items, key=lambda i: lens[i])[:6]
+            out = [(lens[i], (i,)) for i in last] + [(lens[i] + lens[j], (i, j)) for x, i in enumerate(last) for j in last[:x]]
+            best = (0, (), ())
+            for n, gone in out:
+                most = capacity - load + n
+                at = bisect_right(free, (most, 1 << 62)) - 1
+                if at >= 0 and free[at][0] - n > best[0]:
+                    best = (free[at][0] - n, gone, (free[at],))
+                for x in range(max(0, at - 6), at + 1) if len(gone) == 2 else ():
+                    y = bisect_right(free, (most - free[x][0], 1 << 62), 0, x) - 1
+                    if y >= 0 and free[x][0] + free[y][0] - n > best[0]:
+                        best = (free[x][0] + free[y][0] - n, gone, (free[x], free[y]))
+            if not best[0]:
+                break
+            load += best[0]
+            for one in best[2]:
+                free.remove(one)
+                items.append(one[1])
+            for i in best[1]:
+                items.remove(i)
+                insort(free, (lens[i], i))
+    displaced[:] = [i for _, i in reversed(free)]
+
+
+def _repacked(kept: list[list[int]], displaced: list[int], lens, capacity, rng) -> list[list[int]]:
+    """kept with the displaced pieces swapped in where they fill better, and the rest best-fitted."""
+    _swap(kept, displaced, lens, capacity, rng)
+    out = _Bins(capacity)
+    for items in kept:
+        out.keep(items, sum(lens[i] for i in items))
+    out.best_fit(displaced, lens)
+    return out.bins
+
+
 def _cross(into, donor, lens, capacity, rng):
     loads = [sum(lens[i] for i in b) for b in donor]
     best = sorted(range(len(donor)), key=lambda b: -loads[b])[: max(1, len(donor) // 2)]
     injected = rng.sample(best, max(1, len(best) // 2))
     taken = {i for b in injected for i in donor[b]}
-    child = _Bins(capacity)
-    for b in injected:
-        child.keep(list(donor[b]), loads[b])
+    kept = [list(donor[b]) for b in injected]
     displaced = []
     for b in into:
         if taken.isdisjoint(b):
-            child.keep(list(b), sum(lens[i] for i in b))
+            kept.append(list(b))
         else:
             displaced += (i for i in b if i not in taken)
-    child.best_fit(sorted(displaced, key=lambda i: -lens[i]), lens)
-    return child.bins
+    return _repacked(kept, displaced, lens, capacity, rng)
 
 
 def _mutate(bins, lens, capacity, rng):
     order = sorted(range(len(bins)), key=lambda b: sum(lens[i] for i in bins[b]))
     open_ = {*order[: max(2, len(bins) // 20)], *rng.sample(order, min(len(order), 2))}
+    kept = [list(items) for b, items in enumerate(bins) if b not in open_]
+    return _repacked(kept, [i for b in open_ for i in bins[b]], lens, capacity, rng)
+
+
+def best_fit_decreasing(lens: list[int], capacity: int = CAPACITY) -> list[list[int]]:
     out = _Bins(capacity)
-    for b, items in enumerate(bins):
-        if b not in open_:
-            out.keep(list(items), sum(lens[i] for i in items))
-    loose = [i for b in open_ for i in bins[b]]
-    rng.shuffle(loose)
-    loose.sort(key=lambda i: -(lens[i] // 64))
-    out.best_fit(loose, lens)
+    out.best_fit(sorted(range(len(lens)), key=lambda i: -lens[i]), lens)
     return out.bins
 
 
-def evolve(lens: list[int], seed: int, guests=(), capacity: int = CAPACITY, generations: int = GENERATIONS, population: int = POPULATION) -> list[list[int]]:
-    """One island's epoch: the best packing that it finds, as lists of positions in lens."""
+def evolve(lens: list[int], seed: int, guests=(), capacity: int = CAPACITY, stall: int = STALL, population: int = POPULATION) -> list[list[int]]:
+    """One island's epoch: the best packing that it finds, as lists of positions in lens. It ends at the lower bound on bins, or
+    after `stall` generations in a row without a bin less."""
     if not lens:
         return []
     rng = random.Random(seed)
     bound = max(-(-sum(lens) // capacity), sum(2 * n > capacity for n in lens))
-    order = sorted(range(len(lens)), key=lambda i: -lens[i])
     pool = [g for g in guests if g]
-    if not pool or seed % ISLANDS:
-        first = _Bins(capacity)
-        first.best_fit(order, lens)
-        pool.append(first.bins)
+    if not pool:
+        pool.append(best_fit_decreasing(lens, capacity))
     if min(map(len, pool)) <= bound:
         return min(pool, key=len)
+    order = sorted(range(len(lens)), key=lambda i: -lens[i])
     while len(pool) < population:
         other = _Bins(capacity)
         other.best_fit(sorted(order, key=lambda i: -(lens[i] + rng.random() * capacity / 8)), lens)
         pool.append(other.bins)
     rank = lambda b: _fitness(b, lens, capacity)
     pool = sorted(((rank(b), k, b) for k, b in enumerate(pool)))
-    made = len(pool)
-    for _ in range(generations):
-        before = pool[0][0]
+    made, idle = len(pool), 0
+    while pool[0][0][0] > bound and idle < stall:
+        before = pool[0][0][0]
         for _ in range(population // 2):
             a, b = rng.sample(pool, 2)
             child = _cross(a[2], b[2], lens, capacity, rng)
@@ -240,8 +318,7 @@ def evolve(lens: list[int], seed: int, guests=(), capacity: int = CAPACITY, gene
             made += 1
             pool.append((rank(child), made, child))
         pool = sorted(pool)[:population]
-        if pool[0][0][0] <= bound or pool[0][0] == before:
-            break
+        idle = idle + 1 if pool[0][0][0] == before else 0
     return pool[0][2]
 
 
