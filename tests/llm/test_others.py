@@ -72,6 +72,26 @@ def test_url_filter(spark):
     assert urls.judge(one, more_edges=log).first().verdict == "block"
 
 
+def test_links_are_resolved_as_on_their_page(spark):
+    from urllib.parse import urljoin, urlsplit, urlunsplit
+
+    bases = ["https://h.info/a/b/c.html?x=1", "https://h.info", "https://h.info/", "http://h.info/a/./b/", "https://h.info?x"]
+    links = ["p", "./p", "../p", "../../p", "../../../p", "?q=2", "/", "/x/../y", "/x/./y/.", "/x/y/..", "p/../q?z=/../k", "//o.info/k", "https://o.info/m?n", "p#f", "..", "."]
+    rows = [(b, x) for b in bases for x in links]
+    df = spark.createDataFrame(rows, "base string, link string")
+    got = {(r.base, r.link): r.got for r in df.select("base", "link", urls._address(urls._resolved(F.col("base"), F.col("link"))).alias("got")).collect()}
+    for b, x in rows:
+        # a base without a path is its root
+        whole = urlsplit(b)
+        want = urlsplit(urljoin(urlunsplit(whole._replace(path=whole.path or "/")), x))
+        assert got[b, x] == want.netloc + (want.path or "/") + ("?" + want.query if want.query else ""), (b, x)
+    none = spark.createDataFrame([("https://h.info/", "mailto:x@y"), ("no address", "p"), ("https://h.info/", "javascript:void(0)")], "base string, link string")
+    assert [r[0] for r in none.select(urls._resolved(F.col("base"), F.col("link"))).collect()] == [None] * 3
+    page = "<base href='/k/'><link rel=canonical href='p'>"
+    edges = urls.alias_edges(spark.createDataFrame([("https://h.info/a/b", page)], "url string, html string")).collect()
+    assert [tuple(r) for r in edges] == [("h.info/a/b", "h.info/k/p")]
+
+
 def vectors(spark, rows):
     return spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<float>, score string")
 
@@ -183,6 +203,85 @@ def test_mix_under_a_budget_and_odd_input(spark):
     assert {r.doc_id for r in mixing.mix(odd.limit(2)).collect()} == {1, 2}
 
 
+def xx(seed, *values):
+    """Spark's xxhash64 chained over values, by the xxhash library."""
+    import xxhash
+
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True) if not isinstance(v, bool) else b""
+            seed = xxhash.xxh64_intdigest(raw, seed & (2**64 - 1))
+    return seed
+
+
+def signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
+def int4(seed, v):
+    import xxhash
+
+    return xxhash.xxh64_intdigest(v.to_bytes(4, "little", signed=True), seed)
+
+
+def brute_mix(docs, max_epochs=2.0, seed=mixing.SEED, block=mixing.BLOCK):
+    """[(doc_id, source, epoch)], by plain Python: the exponent by bisection, blocks by hash, budgets a block."""
+    tokens = [len(brute.words(t)) for _, _, t in docs]
+    total = {}
+    for (_, s, _), n in zip(docs, tokens, strict=True):
+        total[s or ""] = total.get(s or "", 0) + n
+    every = sum(total.values())
+    share = {s: n / every for s, n in total.items() if n}
+
+    def repeats(a):
+        return max(p ** (a - 1) for p in share.values()) / min(p ** (a - 1) for p in share.values())
+
+    low, high = 0.0, 1.0
+    if repeats(0.0) <= max_epochs:
+        high = 0.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (low, mid) if repeats(mid) <= max_epochs else (mid, high)
+    least = min(p ** (high - 1) for p in share.values())
+    epochs = {s: share[s] ** (high - 1) / least if s in share else 1.0 for s in total}
+    epochs = {s: round(e) if abs(e - round(e)) < 1e-9 else e for s, e in epochs.items()}
+    blocks = max(1, -(-len(docs) // block))
+    held = {}
+    for (d, s, t), n in zip(docs, tokens, strict=True):
+        h = signed(xx(int4(42, seed), d, t))
+        held.setdefault((s or "", h % blocks), []).append((h, d, n))
+    out = []
+    for (s, b), rows in held.items():
+        whole = int(epochs[s])
+        offset = (signed(int4(xx(42, s, b), seed)) % 2**30 + 0.5) / 2**30
+        rows.sort(key=lambda r: (signed(int4(xx(42, r[0]), whole)), r[0]))
+        sum_, before = sum(n for *_, n in rows), 0
+        for k, (_, d, n) in enumerate(rows):
+            more = before + offset * n < (epochs[s] - whole) * sum_ if sum_ else k + offset < (epochs[s] - whole) * len(rows)
+            before += n
+            out += [(d, s, e) for e in range(whole + more)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("sizes", [[300, 90, 31], [700, 700], [40, 900, 7, 200]])
+def test_mix_against_plain_python(spark, sizes, monkeypatch):
+    monkeypatch.setattr(mixing, "BLOCK", 64)
+    r = random.Random(sum(sizes))
+    docs = [(1000 * s + i, f"s{s}" if s else None, " ".join(["w"] * r.randint(0, 9))) for s, n in enumerate(sizes) for i in range(n)]
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, source string, text string, weight string")
+    got = sorted((x.doc_id, x.source or "", x.epoch) for x in mixing.mix(df).collect())
+    assert got == brute_mix(docs, block=64)
+
+
+def test_mix_joins_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    docs = [(1000 * s + i, f"s{s}", "a b c") for s, n in enumerate([50, 20, 3]) for i in range(n)]
+    df = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, source string, text string, weight string")
+    assert sorted((x.doc_id, x.source, x.epoch) for x in mixing.mix(df).collect()) == brute_mix(docs)
+    kept = mixing.taken(df).first()
+    assert kept.row.weight == "x" and kept.weight != "x"
+
+
 def call(i, name, args, **more):
     return f"<tool_call>{json.dumps({'id': i, 'name': name, 'arguments': args} | more)}</tool_call>"
 
@@ -224,9 +323,100 @@ def test_tool_calls(spark):
 
 
 def test_messages_of_the_table(spark):
+    """Messages without blocks, against the standard library."""
     raw = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()
     got = {(r.conv_id, r.turn): r.body for r in toolcalls.query(spark, "/root/testdata/sf0.001").collect()}
-    assert got == {(r.conv_id, r.turn): toolcalls.canonical({"role": r.role, "content": r.text}) for r in raw}
+    plain = lambda r: '{"content":' + json.dumps(r.text, ensure_ascii=False) + ',"role":' + json.dumps(r.role, ensure_ascii=False) + "}"
+    assert got == {(r.conv_id, r.turn): plain(r) for r in raw}
+
+
+def test_tool_calls_keep_large_ids_and_canonical_json(spark):
+    bad = ['{"id":"a","name":"store","arguments":{"key":"k","value":"\\ud800"}}', '{"id":"a","name":"store","arguments":{"key":"k","value":NaN}}', '{"id":"a","name":"store","arguments":{"key":"k","value":1e999}}']
+    rows = [(9007199254740993, k, "assistant", f"<tool_call>{x}</tool_call>") for k, x in enumerate(bad)] + [(None, 9007199254740993, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): r for r in toolcalls.link(df).collect()}
+    assert set(got) == {(9007199254740993, 0), (9007199254740993, 1), (9007199254740993, 2), (None, 9007199254740993)}
+    assert [got[9007199254740993, k].status for k in range(3)] == ["malformed"] * 3
+    assert [json.loads(got[9007199254740993, k].body)["content"] for k in range(3)] == bad
+
+
+@pytest.mark.parametrize("whole", [0, 30, 10**6])
+def test_levels_of_random_graphs(spark, whole):
+    """Longest paths from calls without dependencies; no level in and behind cycles."""
+    r = random.Random(12)
+    calls = {}
+    for c in range(4):
+        n = 25
+        for i in range(n):
+            calls[c, f"c{i}"] = [f"c{r.randrange(i)}" for _ in range(r.randrange(3)) if i] + (["none"] if i % 5 == 0 else [])
+        if c % 2:
+            calls[c, "c3"] = ["c9"]
+            calls[c, "c9"] = ["c3"]
+            calls[c, "self"] = ["self"]
+    want = {}
+    for _ in range(60):
+        for (c, i), deps in calls.items():
+            need = [d for d in deps if (c, d) in calls]
+            if all((c, d) in want for d in need):
+                want[c, i] = max((want[c, d] + 1 for d in need), default=0)
+    df = spark.createDataFrame([(c, i, d) for (c, i), d in calls.items()], "conv_id long, id string, deps array<string>")
+    rows = toolcalls.levels(df, whole).collect()
+    assert {(x.conv_id, x.id): x.level for x in rows} == want and len(rows) == len(want)
+
+
+def test_language_against_plain_python(spark):
+    """Every language of the labels is known, however rare; posteriors are those of plain Python."""
+    r = random.Random(14)
+    letters = {f"l{k:02d}": "".join(r.sample("abcdefghijklmnop", 5)) for k in range(70)}
+    text = lambda x, n: " ".join("".join(r.choice(letters[x]) for _ in range(r.randint(2, 6))) for _ in range(n))
+    labelled = [(i, text(x, 12), x) for i, x in enumerate([*letters, *["l00"] * 40])]
+    langs, table = language.fit(spark.createDataFrame(labelled, "doc_id long, text string, lang string"))
+    assert langs == sorted(letters)
+
+    def grams(t):
+        b = t.encode().lower()
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 2654435761 % 2**32) >> 19 for i in range(len(b) - 2)]
+
+    counts = {x: {} for x in langs}
+    for _, t, x in labelled:
+        for g in grams(t):
+            counts[x][g] = counts[x].get(g, 0) + 1
+    logp = lambda x, g: math.log((counts[x].get(g, 0) + 0.1) / (sum(counts[x].values()) + 0.1 * language.BUCKETS))
+    rows = []
+    for i in range(80):
+        x = r.choice(langs[:5])
+        rows.append((i, r.choice([text(x, 6), text(x, 40), "", None]), r.choice([x, "l00", None]), r.choice(["h.a.de", "h.b.de", "k.b.de", "local", None])))
+    df = spark.createDataFrame([(i, t, False, d, h) for i, t, d, h in rows], "id long, text string, markup boolean, declared string, host string")
+    got = {q.id: q for q in language.identify(df, langs, table).collect()}
+
+    n, ll, guess = len(langs), {}, {}
+    for i, t, *_ in rows:
+        g = grams(t or "")
+        ll[i] = [sum(logp(x, y) for y in g) * min(1.0, language.INDEPENDENT / len(g)) if g else 0.0 for x in langs]
+        guess[i] = max(range(n), key=lambda k: (ll[i][k], -k)) if g else None
+    of = {"host": lambda h: h, "domain": lambda h: ".".join(h.split(".")[-2:]) if h and "." in h else None, "suffix": lambda h: h.split(".")[-1] if h and "." in h else None}
+    seen = {}
+    for i, _, d, h in rows:
+        for name, v in [("declared", d), *((k, f(h)) for k, f in of.items())]:
+            if v is not None:
+                one = seen.setdefault((name, v), [0] * n)
+                if guess[i] is not None:
+                    one[guess[i]] += 1
+    total = [sum(guess[i] == k for i in guess) for k in range(n)]
+    world = [(c + 1) / (sum(total) + n) for c in total]
+    smooth = lambda own, parent: [(x + language.STRENGTH * p) / (sum(own) + language.STRENGTH) for x, p in zip(own, parent, strict=True)]
+    for i, _, d, h in rows:
+        domain = of["domain"](h)
+        parent = smooth(seen["domain", domain], world) if domain else world
+        prior = smooth(seen["host", h] if h else [0] * n, parent)
+        score = [a + math.log(b) for a, b in zip(ll[i], prior, strict=True)]
+        for name, v in (("declared", d), ("suffix", of["suffix"](h))):
+            if v is not None:
+                score = [s + math.log((x + 1) / (t + 2)) for s, x, t in zip(score, seen[name, v], total, strict=True)]
+        best = max(score)
+        assert abs(got[i].confidence - 1 / sum(math.exp(s - best) for s in score)) < 1e-9
+        assert score[langs.index(got[i].language)] > best - 1e-9
+        assert got[i].text_language == (None if guess[i] is None else langs[guess[i]])
 
 
 def test_language_held_out(spark):
@@ -295,6 +485,20 @@ def test_pipeline_deletes_every_run_that_an_earlier_document_holds(spark):
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).collect()} == stays
 
 
+def test_stages_with_clashing_columns(spark):
+    """Each stage on documents that have columns of the names that operators give."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    own = ["n_removed", "n_lines", "n_partners", "epoch", "epochs", "weight", "n_tokens", "block_order", "position", "kept", "component_id", "n_words", "row", "spans", "first"]
+    wide = docs.withColumns({c: F.concat(F.lit("own "), "doc_id") for c in own})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns, name
+        same = out.where(" AND ".join(f"`{c}` = concat('own ', doc_id)" for c in own))
+        assert same.count() == out.count() == stage(spark, docs, "").count(), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, "").count() == corpus_pipeline.STAGES[-1][1](spark, docs, "").count()
+
+
 def test_stages_return_the_columns_of_documents(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0)

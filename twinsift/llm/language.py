@@ -1,6 +1,6 @@
 """Language identification by Bayesian evidence fusion.
 
-1. Text: a naive Bayes model over hashed byte trigrams, fitted on a bounded sample of labelled documents, gives each text
+1. Text: a naive Bayes model over hashed byte trigrams, fitted on a bounded sample of each language's labelled documents, gives each text
    a log likelihood per language, tempered because trigrams overlap.
 2. A first guess from the text alone is counted by host, domain, address suffix and declared language, by grouped aggregation
    over the whole table. Host priors are smoothed towards their domain's, and these towards the table's: a host with n
@@ -9,8 +9,9 @@
 3. The posterior is the normalised product.
 
 Defined results: null and empty texts have no text evidence and follow the rest. A missing declaration, suffix or host gives no
-evidence of its own. Repeated rows are judged each by itself and count as often as they occur. Extra columns are left
-out. An empty table gives an empty result; without labelled text every language is null.
+evidence of its own. Repeated rows are judged each by itself and count as often as they occur. Of equally likely languages the
+first by name is taken. Very long texts are read whole. Extra columns are id columns and pass through, but for the names that
+the result has itself. An empty table gives an empty result; without labelled text every language is null.
 """
 
 from __future__ import annotations
@@ -23,14 +24,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm import textkit as T
-from twinsift.llm.shared import cut
+from twinsift.llm.shared import cut, salted
 from twinsift.llm.urls import host_of
 
 NAME = "op6_language_id"
 SQL = None
 
-#: Documents that the model is fitted on (the expected number, where there are more), and languages that it knows, at most.
-SAMPLE, LANGUAGES = 4000, 64
+#: Labelled documents of each language that the model is fitted on (the expected number, where there are more).
+SAMPLE = 1000
 BUCKETS = 1 << 13
 #: Trigrams of a text count as this many independent ones at most.
 INDEPENDENT = 60.0
@@ -56,11 +57,13 @@ def _trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages, and the log probability of each trigram bucket in each. labelled: doc_id, text, lang."""
+    """Languages, and the log probability of each trigram bucket in each. labelled: doc_id, text, lang. Every language that labels
+    a row is known; the model holds BUCKETS numbers for each."""
     some = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    # by a bound on the id's hash, so that no task gathers the sample
-    share = min(1.0, SAMPLE / max(1, some.count()))
-    sample = some.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    # of each language by a bound on the id's hash, so that no task gathers the sample
+    share = some.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.count("*")).alias("_share"))
+    share = F.broadcast(labelled.sparkSession.createDataFrame([tuple(r) for r in share.collect()], "lang string, _share double"))
+    sample = some.join(share, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("_share") * (1 << 30))
 
     def run(frames):
         for f in frames:
@@ -73,9 +76,9 @@ def fit(labelled: DataFrame) -> tuple[list[str], np.ndarray]:
 
     counted = sample.select("lang", "text").mapInArrow(run, "lang string, g long, n long").groupBy("lang", "g").agg(F.sum("n").alias("n"))
     counts: dict[str, np.ndarray] = {}
-    for lang, g, n in counted.collect():  # at most BUCKETS rows for each language of the sample
+    for lang, g, n in counted.collect():  # at most BUCKETS rows for each language
         counts.setdefault(lang, np.zeros(BUCKETS))[g] = n
-    langs = sorted(sorted(counts, key=lambda x: -counts[x].sum())[:LANGUAGES])
+    langs = sorted(counts)
     table = np.array([np.log((counts[x] + 0.1) / (counts[x].sum() + 0.1 * BUCKETS)) for x in langs]).T if langs else np.zeros((BUCKETS, 0))
     return langs, np.ascontiguousarray(table)
 
@@ -112,6 +115,8 @@ def _best(scores: Column) -> Column:
 def identify(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     """rows (id columns, text, markup, declared, host) with language, confidence, text_language and declared."""
     n = len(langs)
+    own = ("language", "confidence", "text_language", "domain", "suffix", "guess", "ll", "score", "prior", "declared_ll", "suffix_ll")
+    rows = rows.drop(*own)
     ids = [c for c in rows.columns if c not in ("text", "markup", "host", "declared")]
     if not n:
         return rows.select(*ids, F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("confidence"), F.lit(None).cast("string").alias("text_language"), "declared")
@@ -137,11 +142,18 @@ def identify(rows: DataFrame, langs: list[str], table: np.ndarray) -> DataFrame:
     like = lambda c: F.zip_with(c, per_lang, lambda x, t: F.log((x + 1.0) / (t + 2.0)))
     declared = counts("declared", "kc").select("declared", like(F.col("kc")).alias("declared_ll"))
     suffixes = counts("suffix", "sc").select("suffix", like(F.col("sc")).alias("suffix_ll"))
-    joined = first.join(counts("host", "hc"), "host", "left").join(domains, "domain", "left").join(declared, "declared", "left").join(suffixes, "suffix", "left")
+    # what is known of a host and a declaration is put together once, and meets the rows in one join
+    kinds = first.select("host", "domain", "suffix", "declared").distinct()
+    for table, key in ((counts("host", "hc"), "host"), (domains, "domain"), (declared, "declared"), (suffixes, "suffix")):
+        kinds = salted(kinds, table, key, F.concat_ws("/", "host", "declared"))
     prior = smoothed(F.coalesce("hc", zero), F.coalesce("dp", F.array(*map(F.lit, world))))
+    # null keys as texts that no host or declaration can be
+    both = lambda: F.concat_ws("\n", F.coalesce("host", F.lit("\r")), F.coalesce("declared", F.lit("\r")))
+    known = kinds.select(both().alias("_kind"), prior.alias("prior"), "declared_ll", "suffix_ll")
+    joined = salted(first.withColumn("_kind", both()), known, "_kind", F.monotonically_increasing_id())
     none = F.array(*[F.lit(0.0)] * n)
     add = lambda a, b: F.zip_with(a, b, lambda x, y: x + y)
-    score = add(add(F.col("ll"), F.transform(prior, lambda p: F.log(p))), add(F.coalesce("declared_ll", none), F.coalesce("suffix_ll", none)))
+    score = add(add(F.col("ll"), F.transform("prior", lambda p: F.log(p))), add(F.coalesce("declared_ll", none), F.coalesce("suffix_ll", none)))
     joined = joined.withColumn("score", score)
     z = F.aggregate(F.transform("score", lambda s: F.exp(s - F.array_max("score"))), F.lit(0.0), lambda a, x: a + x)
     return joined.select(*ids, F.get(labels, _best(F.col("score"))).alias("language"), (1 / z).alias("confidence"), F.get(labels, F.col("guess")).alias("text_language"), "declared")

@@ -60,7 +60,7 @@ def _measure(sources: DataFrame, total: float, exponents: list[float], budget: f
     return out
 
 
-def find_exponent(sources: DataFrame, total: float, entropy: float | None = None, max_epochs: float | None = None, budget: float | None = None, sections: int = 16, passes: int = 6) -> float:
+def find_exponent(sources: DataFrame, total: float, entropy: float | None = None, max_epochs: float | None = None, budget: float | None = None, sections: int = 16, passes: int = 12) -> float:
     """The smallest exponent in [0, 1] with an entropy of at most `entropy`, or a repetition of at most max_epochs.
 
     Entropy (in nats) and, at a given or a one-epoch budget, repetition fall as the exponent rises. 1 where even that is above.
