@@ -20,20 +20,20 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Aligned blocks go from the later document; a document of which nothing is left goes as a whole."""
-    cleaned = linedup.dedup_lines(docs).where((F.col("n_removed") == 0) | (trimmed(F.col("text")) != ""))
+    cleaned = linedup.cleaned(docs).where((F.col("n_removed") == 0) | (trimmed(F.col("row.text")) != "")).select("row.*")
     cols = [F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return cleaned.select(*cols)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays; shingles of five words, as the operator has them by default."""
     gone = neardup.near_duplicates(docs.select("doc_id", "text")).where("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Small sources are repeated, to twice at most; every document stays."""
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.taken(docs).select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
