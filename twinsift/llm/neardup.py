@@ -303,7 +303,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     rows = cut(roles.withColumn("bx", F.explode("bx")).withColumn("by", F.explode("by")))
     # so many tasks that each holds some TASK_MB of packed texts
     held = rows.join(texts.select("id", (F.octet_length("z") + 8 * (BANDS + _N * BITS // 64)).alias("b")), "id").agg(F.sum("b")).first()[0] or 0
-    tasks = parts(docs.sparkSession, held, TASK_MB)
+    tasks = parts(held, TASK_MB)
     rows = rows.join(texts, "id")
     part = F.pmod(F.xxhash64("key", "bx", "by"), F.lit(tasks)).alias("part")
     last = cut(rows.groupBy(part).applyInArrow(_between(least, words, percent), "id long, m long"))

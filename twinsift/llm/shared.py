@@ -47,9 +47,9 @@ def text_bytes(df: DataFrame, text: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(text))).first()[0] or 0)
 
 
-def parts(spark: SparkSession, n_bytes: int, mb: float, least: int = 16) -> int:
-    """So many buckets that each has about mb MB of n_bytes; a count that follows the input."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")) * 2, -(-n_bytes // int(mb * 2**20)))
+def parts(n_bytes: int, mb: float, least: int = 16) -> int:
+    """So many buckets that each has about mb MB of n_bytes; a count that follows the input and nothing else."""
+    return max(least, -(-n_bytes // int(mb * 2**20)))
 
 
 def trimmed(c):

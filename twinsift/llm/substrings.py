@@ -91,7 +91,8 @@ class _Windows:
             best[less] = c[less]
             arg[less] = j
         self.anchor = self.start + arg[self.start]
-        self.key = best[self.start] & ~np.uint64(0xFF)
+        # minima are small numbers: mixed again, so that buckets of keys are even
+        self.key = T.mix(best[self.start]) & ~np.uint64(0xFF)
 
     def anchors(self) -> np.ndarray:
         """The key of each anchored suffix's first PREFIX words, once for each place."""
@@ -381,7 +382,7 @@ def _squeezed(docs: DataFrame, n: int) -> DataFrame:
 def remove_repeats(docs: DataFrame, text: bool = False, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256; with text also kept_text and repeats, the maximal repeats as word ranges."""
     n_bytes = text_bytes(docs)
-    n_docs, n_keys, n_trees = (parts(docs.sparkSession, n_bytes, mb) for mb in (DOC_MB, KEY_MB, TREE_MB))
+    n_docs, n_keys, n_trees = (parts(n_bytes, mb) for mb in (DOC_MB, KEY_MB, TREE_MB))
     held = _squeezed(docs, n_docs)
     by_doc = held.groupBy("d")
     key, reply = "k long, d long, blob binary", "d long, kind int, k long, blob binary"

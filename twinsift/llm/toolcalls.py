@@ -214,7 +214,7 @@ def levels(calls: DataFrame, whole: int | None = None) -> DataFrame:
     size = of.groupBy("component").agg(F.count("*").alias("n"))
     of = cut(of.join(size, "component").select("conv_id", "id", "dep", "component", "n"))
     # components are dealt to groups by the task's share, and stay whole
-    groups = parts(calls.sparkSession, of.count() * 100, TASK_MB)
+    groups = parts(of.count() * 100, TASK_MB)
     small = of.where(F.col("n") <= whole).select("conv_id", "id", "dep", F.pmod(F.xxhash64("component"), F.lit(groups)).alias("g"))
     done = done.unionAll(small.groupBy("g").applyInArrow(_ordered, "conv_id long, id string, level int"))
     large = of.where(F.col("n") > whole).select("conv_id", "id", "dep")
