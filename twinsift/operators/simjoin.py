@@ -5,14 +5,13 @@ Inputs hold idx (long) and v (array of doubles). Strategies, all exact:
 - nested: a nested-loop join over array functions; the reference for the others, for small inputs.
 - blocked: rows are dealt to blocks, a block is one row of packed numbers, each pair of blocks is one group, and a matrix
   product finds the candidates in it. Blocks are as large as BLOCK_BYTES allows, since every block is sent to every other.
-- grid: for small thresholds. Vectors whose distance is at most t differ by at most t along every unit direction, so cells of
-  width t over a few directions turn the join into an equi-join with the neighbouring cells.
+- grid: vectors whose distance is at most t differ by at most t along every unit direction. Slabs of equal rows along a few
+  directions cross in cells, a cell is one block or several, and only blocks of cells in reach of each other are paired and
+  multiplied. The smaller t against the spread, the fewer pairs; the more rows, the narrower the slabs.
 """
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,9 +27,8 @@ TILE = 1 << 21
 MATRIX_ROWS = 512
 RANK_ROWS = 100_000
 GRID_DIRECTIONS = 3
-#: grid is chosen where the threshold is below this share of the spread along a direction, and there are so many rows.
-GRID_SHARE = 0.05
-GRID_ROWS = 8192
+#: Blocks from which on grid is chosen, and that it makes at least.
+GRID_BLOCKS = 64
 
 
 def _ranked(df: DataFrame, key: str, name: str, bucket_rows: int) -> DataFrame:
@@ -68,13 +66,9 @@ def profile(df: DataFrame) -> tuple[int, int]:
     return row.n, row.dim or 0
 
 
-def plan(df: DataFrame, threshold: float, size: tuple[int, int] | None = None) -> str:
-    """The strategy for a join of df at the threshold, from its size, dimension and spread."""
-    n, dim = size or profile(df)
-    if n <= GRID_ROWS or not dim:
-        return "blocked"
-    spread = df.agg(F.stddev(_along(F.col("v"), directions(dim, 1)[0]))).first()[0]
-    return "grid" if spread and threshold < GRID_SHARE * spread else "blocked"
+def plan(size: tuple[int, int]) -> str:
+    """The strategy for a join, from its rows and dimension: grid where there are blocks enough to leave some pairs out."""
+    return "grid" if size[0] * size[1] * 8 > GRID_BLOCKS * BLOCK_BYTES else "blocked"
 
 
 def directions(dim: int, n: int = GRID_DIRECTIONS, seed: int = 7) -> np.ndarray:
@@ -93,21 +87,25 @@ def _n_blocks(df: DataFrame, size: tuple[int, int]) -> int:
     return max(int((2 * tasks) ** 0.5), -(-size[0] * size[1] * 8 // BLOCK_BYTES), 1)
 
 
-def _packed(df: DataFrame, n: int) -> DataFrame:
-    """p, ids, m and f32: the rows dealt to n blocks by a hash of idx, a block in one row; 32-bit floats where they hold
-    the same numbers. Null vectors are left out."""
+def _packed(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, ids, m and f32: the rows of each key as one block; 32-bit floats where they hold the same numbers."""
+    key_type = df.select(*keys).schema
 
     def run(key, table):
-        v = table.column("v").combine_chunks()
-        m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        m = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         narrow = m.astype(np.float32)
         f32 = bool((narrow == m).all())
         ids = table.column("idx").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64)
-        cols = [[key[0].as_py()], [ids.tobytes()], [(narrow if f32 else m).tobytes()], [f32]]
-        return pa.table({k: pa.array(c, t) for k, c, t in zip(("p", "ids", "m", "f32"), cols, (pa.int32(), pa.binary(), pa.binary(), pa.bool_()), strict=True)})
+        cols = {"ids": pa.array([ids.tobytes()]), "m": pa.array([(narrow if f32 else m).tobytes()]), "f32": pa.array([f32])}
+        return pa.table({k: pa.array([v.as_py()], v.type) for k, v in zip(keys, key, strict=True)} | cols)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in key_type)
+    return df.groupBy(*keys).applyInArrow(run, f"{schema}, ids binary, m binary, f32 boolean")
+
 
-    dealt = df.where("v IS NOT NULL").select("idx", "v", F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int").alias("p"))
-    return dealt.groupBy("p").applyInArrow(run, "p int, ids binary, m binary, f32 boolean")
+def _dealt(df: DataFrame, n: int) -> DataFrame:
+    """n blocks by a hash of idx; null vectors are left out."""
+    return _packed(df.where("v IS NOT NULL").select("idx", "v", F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int").alias("p")), ["p"])
 
 
 def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +134,7 @@ def _tiles(a: np.ndarray, b: np.ndarray, threshold: float, f32: bool):
 def _blocked_self(df: DataFrame, threshold: float, f32: bool, size: tuple[int, int]) -> DataFrame:
     n = _n_blocks(df, size)
     each = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    blocks = _packed(df, n).withColumn("q", each)
+    blocks = _dealt(df, n).withColumn("q", each)
     # a block meets itself as both sides
     side = F.explode(F.when(F.col("p") == F.col("q"), F.array(F.lit(0), F.lit(1))).otherwise(F.array((F.col("p") > F.col("q")).cast("int"))))
     sides = blocks.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), side.alias("side"), "ids", "m", "f32")
@@ -151,8 +149,8 @@ def _blocked_self(df: DataFrame, threshold: float, f32: bool, size: tuple[int, i
 
 
 def _two_sides(a: DataFrame, b: DataFrame, n: int, m: int) -> DataFrame:
-    left = _packed(a, n).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(F.col("p").alias("x"), F.col("q").alias("y"), F.lit(0).alias("side"), "ids", "m", "f32")
-    right = _packed(b, m).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("q").alias("x"), F.col("p").alias("y"), F.lit(1).alias("side"), "ids", "m", "f32")
+    left = _dealt(a, n).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(m - 1)))).select(F.col("p").alias("x"), F.col("q").alias("y"), F.lit(0).alias("side"), "ids", "m", "f32")
+    right = _dealt(b, m).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.col("q").alias("x"), F.col("p").alias("y"), F.lit(1).alias("side"), "ids", "m", "f32")
     return left.unionAll(right)
 
 
@@ -171,21 +169,78 @@ def _nested(a: DataFrame, b: DataFrame, threshold: float, f32: bool, ordered: bo
     return both.select("i", "j", l2(F.col("a"), F.col("b")).alias("dist"))
 
 
-def _grid(a: DataFrame, b: DataFrame, threshold: float, f32: bool, ordered: bool) -> DataFrame:
-    dim = a.agg(F.max(F.size("v"))).first()[0]
-    if not dim or threshold <= 0:
+class _Slabs:
+    """Slabs of equal rows along a few directions, and for each slab the slabs that a threshold reaches from it."""
+
+    def __init__(self, df: DataFrame, dim: int, n: int, threshold: float):
+        self.units = directions(dim)
+        self.n = max(1, round(n ** (1 / len(self.units))))
+        along = [_along(F.col("v"), u) for u in self.units]
+        cuts = [F.percentile_approx(c, [k / self.n for k in range(1, self.n)], 50 * self.n) for c in along]
+        row = df.where("v IS NOT NULL").agg(*[c.alias(f"c{k}") for k, c in enumerate(cuts)]).first() if self.n > 1 else [None] * len(along)
+        self.cuts = [sorted(x for x in r or () if np.isfinite(x)) for r in row]
+        # distances of projections are at most those of vectors, but for rounding
+        reach = threshold * (1 + 1e-6) + 1e-9 * max((abs(x) for c in self.cuts for x in c), default=1.0)
+        self.reach = []
+        for c in self.cuts:
+            low, high = [-np.inf, *c], [*c, np.inf]
+            self.reach.append([[j for j in range(len(low)) if low[j] - h <= reach and lo - high[j] <= reach] for lo, h in zip(low, high, strict=True)])
+
+    def columns(self) -> list[Column]:
+        out = []
+        for u, c in zip(self.units, self.cuts, strict=True):
+            at = _along(F.col("v"), u)
+            k = F.size(F.filter(F.array(*map(F.lit, c)).cast("array<double>"), lambda x: x < at))  # noqa: B023
+            # no distance from what isn't finite
+            out.append(F.when(F.isnan(at) | (F.abs(at) == float("inf")), F.lit(None).cast("int")).otherwise(k))
+        return out
+
+    def near(self, k: int) -> Column:
+        """The slabs in reach of slab k<k>, a column."""
+        return F.get(F.array(*[F.array(*map(F.lit, x)) for x in self.reach[k]]), F.col(f"k{k}"))
+
+
+def _cells(df: DataFrame, slabs: _Slabs, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Blocks of the cells that slabs cross in, and the number of blocks of each cell: a full cell has several."""
+    keys = [f"k{k}" for k in range(len(slabs.units))]
+    rows = df.where("v IS NOT NULL").select("idx", "v", *[c.alias(k) for k, c in zip(keys, slabs.columns(), strict=True)]).dropna(subset=keys)
+    most = max(1, BLOCK_BYTES // (8 * dim))
+    full = cut(rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("salts")))
+    salt = F.pmod(F.xxhash64("idx"), F.col("salts")).cast("int").alias("salt")
+    return cut(_packed(rows.join(full, keys).select("idx", "v", *keys, salt), [*keys, "salt"])), full
+
+
+def _grid(a: DataFrame, b: DataFrame, threshold: float, f32: bool, ordered: bool, sizes) -> DataFrame:
+    """Blocks of cells, each pair of blocks whose cells are in reach of each other; ordered: a joined with itself."""
+    dim = sizes[1][1]
+    if not dim or threshold < 0 or not sizes[0][0]:
         return _nested(a, b, threshold, f32, ordered)
-    width = threshold * (1 + 1e-6)
-    units = directions(dim)
-    cell = [F.floor(_along(F.col("v"), u) / width) for u in units]
-    left = a.select(F.col("idx").alias("i"), F.col("v").alias("a"), *[c.alias(f"c{k}") for k, c in enumerate(cell)])
-    steps = F.array(*[F.struct(*[F.lit(s).alias(f"s{k}") for k, s in enumerate(t)]) for t in itertools.product((-1, 0, 1), repeat=len(units))])
-    left = left.withColumn("s", F.explode(steps)).select("i", "a", *[(F.col(f"c{k}") + F.col(f"s.s{k}")).alias(f"c{k}") for k in range(len(units))])
-    right = b.select(F.col("idx").alias("j"), F.col("v").alias("b"), *[c.alias(f"c{k}") for k, c in enumerate(cell)])
-    both = left.join(right, [f"c{k}" for k in range(len(units))])
-    if ordered:
-        both = both.where("i < j")
-    return both.select("i", "j", l2(F.col("a"), F.col("b")).alias("dist")).where(within(F.col("dist"), threshold, f32))
+    wanted = max(GRID_BLOCKS, *(-(-n * dim * 8 // BLOCK_BYTES) for n, _ in sizes))
+    slabs = _Slabs(b, dim, wanted, threshold)
+    blocks, full = _cells(b, slabs, dim)
+    others, others_full = (blocks, full) if ordered else _cells(a, slabs, dim)
+    keys = [f"k{k}" for k in range(len(slabs.units))]
+    here = F.struct(*keys, "salt")
+
+    def side(own: DataFrame, met: DataFrame, number: int) -> DataFrame:
+        """A row of each block for each block of met that is in reach."""
+        far = own.select(here.alias("own"), *[slabs.near(k).alias(f"k{k}") for k in range(len(keys))], "ids", "m", "f32")
+        for k in keys:
+            far = far.withColumn(k, F.explode(k))
+        far = far.join(met, keys).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("far", here)
+        x, y = ("own", "far") if number == 0 else ("far", "own")
+        out = far.select(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(number).alias("side"), "ids", "m", "f32")
+        return out.where("x <= y") if ordered else out
+
+    def kernel(ids, x, rest, y):
+        i, j, d = _tiles(x, y, threshold, f32)
+        i, j = ids[i], rest[j]
+        if not ordered:
+            return i, j, d
+        keep = i < j if len(ids) == len(rest) and (ids == rest).all() else np.ones(len(i), bool)
+        return np.minimum(i, j)[keep], np.maximum(i, j)[keep], d[keep]
+
+    return _block_pairs(side(others, full, 0).unionAll(side(blocks, others_full, 1)), kernel)
 
 
 def self_join(df: DataFrame, threshold: float = 0.1, strategy: str = "auto", compat_index_bug: bool = False, compat_f32: bool = False) -> DataFrame:
@@ -194,11 +249,13 @@ def self_join(df: DataFrame, threshold: float = 0.1, strategy: str = "auto", com
     compat_index_bug drops the pairs whose ranks are (r, 2 r + 1), as a search that mixes up two numberings would.
     """
     size = profile(df)
-    strategy = plan(df, threshold, size) if strategy == "auto" else strategy
+    strategy = plan(size) if strategy == "auto" else strategy
     if strategy == "blocked":
         pairs = _blocked_self(df, threshold, compat_f32, size)
+    elif strategy == "grid":
+        pairs = _grid(df, df, threshold, compat_f32, True, (size, size))
     else:
-        pairs = {"nested": _nested, "grid": _grid}[strategy](df, df, threshold, compat_f32, True)
+        pairs = _nested(df, df, threshold, compat_f32, True)
     if compat_index_bug:
         place = ranks(df.select(F.col("idx").alias("id")))
         pairs = pairs.join(place.select(F.col("id").alias("i"), F.col("r").alias("ri")), "i").join(place.select(F.col("id").alias("j"), F.col("r").alias("rj")), "j")
@@ -211,10 +268,12 @@ def cross_set_join(incoming: DataFrame, base: DataFrame, threshold: float = 0.1,
     sizes = profile(incoming), profile(base)
     if sizes[0][1] != sizes[1][1] and sizes[0][0] and sizes[1][0]:
         raise MixedDimensionsError(f"vectors of {sizes[0][1]} and of {sizes[1][1]} components")
-    strategy = plan(base, threshold, sizes[1]) if strategy == "auto" else strategy
+    strategy = plan(max(sizes)) if strategy == "auto" else strategy
     if strategy == "blocked":
         return _blocked_sets(incoming, base, threshold, compat_f32, sizes)
-    return {"nested": _nested, "grid": _grid}[strategy](incoming, base, threshold, compat_f32, False)
+    if strategy == "grid":
+        return _grid(incoming, base, threshold, compat_f32, False, sizes)
+    return _nested(incoming, base, threshold, compat_f32, False)
 
 
 def duplicates(incoming: DataFrame, matches: DataFrame) -> DataFrame:
