@@ -42,5 +42,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         nxt = later.select(F.col("node").alias("to"), F.col("to").alias("then"))
         end = end.join(nxt, "to", "left").select("node", F.coalesce("then", "to").alias("to"))
     end = cut(end)
+    drop_cut(left, *maps)
     least = end.groupBy("to").agg(F.min("node").alias("component"))
     return end.join(least, "to").select("node", "component")

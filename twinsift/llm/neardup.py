@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from twinsift.llm import textkit as T
 from twinsift.llm.components import components
-from twinsift.llm.shared import cut, parts
+from twinsift.llm.shared import cut, drop_cut, parts
 
 NAME = "op4_minhash_near_dedup"
 
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         more = tied.select("node", F.col("root").alias("component")).join(label.select("node"), "node", "left_anti")
         return cut(old.unionAll(more))
 
-    rest = cut(apart(scored.select("id", "m").join(first.select("id", "m"), ["id", "m"], "left_anti"), label))
+    rest = open_rest = cut(apart(scored.select("id", "m").join(first.select("id", "m"), ["id", "m"], "left_anti"), label))
     if not rest.isEmpty():
         label = joined(label, _confirmed(rest, texts, words, percent))
 
@@ -300,7 +300,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     side = lambda role, x, y: rows.select("id", "key", "component", "largest", F.lit(role).alias("role"), x.alias("bx"), y.alias("by"))
     roles = side(0, dealt("nx"), every("ny")).where("component <> largest").unionAll(side(1, every("nx"), dealt("ny")))
-    rows = cut(roles.withColumn("bx", F.explode("bx")).withColumn("by", F.explode("by")))
+    rows = rows_cut = cut(roles.withColumn("bx", F.explode("bx")).withColumn("by", F.explode("by")))
     # so many tasks that each holds some TASK_MB of packed texts
     held = rows.join(texts.select("id", (F.octet_length("z") + 8 * (BANDS + _N * BITS // 64)).alias("b")), "id").agg(F.sum("b")).first()[0] or 0
     tasks = parts(held, TASK_MB)
@@ -309,6 +309,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     last = cut(rows.groupBy(part).applyInArrow(_between(least, words, percent), "id long, m long"))
     if not last.isEmpty():
         label = joined(label, last)
+    label = cut(label)
+    drop_cut(reps, shared, scored, texts, links, open_rest, rows_cut, last)
 
     end = sigs.select("doc_id", "n_shingles").join(member.groupBy("doc_id").agg(F.min("rep").alias("rep")), "doc_id", "left")
     end = end.withColumn("node", F.coalesce("rep", "doc_id")).join(label, "node", "left")

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm import textkit as T
-from twinsift.llm.shared import cut
+from twinsift.llm.shared import cut, drop_cut
 
 NAME = "op8_best_fit_packing"
 SQL = None
@@ -47,6 +47,8 @@ STALL = 8
 POPULATION = 6
 #: Bins that a child tries to fill better by swaps.
 TRIES = 64
+#: Tasks that islands are dealt over, at most.
+TASKS = 8192
 #: Bins filled less than this are opened again at the next level.
 LOOSE = 0.98
 #: Words that a worker remembers.
@@ -375,14 +377,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         items = left.groupBy(F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(groups)).alias("g")).agg(F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("l"), "rid"))).alias("x"))
         items = cut(items.select("g", F.transform("x", lambda x: x["rid"]).alias("rids"), F.transform("x", lambda x: (-x["l"]).cast("int")).alias("lens")))
         none = F.lit(None).cast("array<int>")
-        islands = items.select("g", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("r"), "lens").repartition("g", "r").withColumns({"mine": none, "guest": none})
+        islands = items.select("g", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("r"), "lens").withColumns({"mine": none, "guest": none})
         for epoch in range(EPOCHS):
+            before = islands
             if epoch:
                 guests = islands.select("g", F.pmod(F.col("r") + 1, F.lit(ISLANDS)).alias("r"), F.col("mine").alias("guest"))
                 islands = islands.join(guests, ["g", "r"])
-            islands = cut(islands.select("g", "r", "lens", "mine", "guest").mapInPandas(_epoch(capacity), "g long, r int, lens array<int>, mine array<int>, n long"))
+            # a task for each island, however small they are, up to TASKS
+            dealt = islands.select("g", "r", "lens", "mine", "guest").repartition(min(groups * ISLANDS, TASKS), "g", "r")
+            islands = cut(dealt.mapInPandas(_epoch(capacity), "g long, r int, lens array<int>, mine array<int>, n long"))
+            if epoch:
+                drop_cut(before)
         best = islands.groupBy("g").agg(F.min_by("mine", F.struct("n", "r")).alias("mine"))
         placed = cut(items.join(best, "g").select("g", "rids", "lens", "mine").mapInPandas(_places(capacity), "g long, rid long, length long, bin long, offset long, load long"))
+        drop_cut(items, islands)
         loose = placed.where(F.col("load") < LOOSE * capacity)
         more = loose.count() if groups > 1 else 0
         last = groups == 1 or more == 0 or more > 0.7 * n

@@ -33,13 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Deletes what cut() wrote for df, once nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        if "/cut-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+def drop_cut(*tables: DataFrame) -> None:
+    """Deletes what cut() wrote for the tables, once nothing reads them any more."""
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if "/cut-" in name:
+                path = jvm.org.apache.hadoop.fs.Path(name)
+                path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def text_bytes(df: DataFrame, text: str = "text") -> int:

@@ -26,12 +26,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from twinsift.llm.shared import cut
+from twinsift.llm.shared import cut, drop_cut
 
 NAME = "op7_exact_top_k"
 
 K = 20
-BLOCK = 8192
+BLOCK = 4096
 QUERIES = 2048
 TILE = 1024
 PARTIAL = 16
@@ -179,8 +179,9 @@ def _thresholds(key, groups, found):
     return pa.table({n: pa.array(c, t) for n, c, t in zip(("q", "qids", "qm", "qwidth", "dim", "least", "known", "need"), cols, kinds, strict=True)})
 
 
-def _by_length(vectors: DataFrame, n: int) -> DataFrame:
-    """vectors with block: BLOCK of them each, numbered by descending length. Only the count of each range reaches the driver."""
+def _by_length(vectors: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """vectors with block: BLOCK of them each, numbered by descending length; and the cut table that they are read from. Only the
+    count of each range reaches the driver."""
     norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
     dealt = vectors.withColumn("norm2", norm).repartitionByRange(max(1, -(-n // BLOCK)), F.desc("norm2"), "vec_id").sortWithinPartitions(F.desc("norm2"), "vec_id")
     # the low 33 bits of the id count within a range, the others name it
@@ -192,7 +193,7 @@ def _by_length(vectors: DataFrame, n: int) -> DataFrame:
         total += r["count"]
     start = F.broadcast(vectors.sparkSession.createDataFrame(starts, "_part long, _start long"))
     place = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
-    return dealt.withColumn("_part", part).join(start, "_part").select("vec_id", "v", F.floor(place / BLOCK).alias("block"))
+    return dealt.withColumn("_part", part).join(start, "_part").select("vec_id", "v", F.floor(place / BLOCK).alias("block")), dealt
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
@@ -200,7 +201,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     n, m = vectors.count(), queries.count()
     schema = "query_id long, vec_id long, score long"
-    blocks = cut(_by_length(vectors, n).groupBy("block").applyInArrow(_packed, _PACKED))
+    numbered, ranged = _by_length(vectors, n)
+    blocks = cut(numbered.groupBy("block").applyInArrow(_packed, _PACKED))
+    drop_cut(ranged)
     n_groups = max(1, -(-m // QUERIES))
     dealt = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(n_groups)).alias("block"), "vec_id", "v")
     groups = cut(dealt.groupBy("block").applyInArrow(_packed, _PACKED).select(F.col("block").alias("q"), F.col("ids").alias("qids"), F.col("m").alias("qm"), F.col("width").alias("qwidth"), "dim"))
@@ -215,6 +218,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     kth = kth.select(F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).alias("q"), "query_id", "least")
     state = "q long, qids binary, qm binary, qwidth int, dim int, least binary, known binary, need double"
     ready = cut(groups.groupBy("q").cogroup(kth.groupBy("q")).applyInArrow(_thresholds, state))
+    drop_cut(groups)
     # each group names the blocks that it has left, and keeps those that are long enough
     left = ready.join(ends.where("first < last"), "dim").select("dim", "q", "need", F.explode(F.sequence(F.col("first") + 1, F.col("last"))).alias("block"))
     pairs = left.join(index, ["dim", "block"]).where("norm >= need").select("dim", "block", "q")
