@@ -135,3 +135,14 @@ def test_another_tokenizer(spark):
     got = {r.doc_id: r.ids for r in packing.tokenized(docs, path, ids=True).collect()}
     assert got == {i: t.encode(x or "", add_special_tokens=False).ids + [0] for i, x in enumerate(ODD)}
     check(packing.pack(docs, path).collect())
+
+
+def test_islands_work_where_best_fit_falls_short(spark, monkeypatch):
+    """Texts whose lengths are triplets, through the whole operator."""
+    monkeypatch.setattr(packing, "GROUP", 240)
+    lens = triplets(5, 80)
+    word = "the "
+    docs = spark.createDataFrame([(i, word * (n - 1), None) for i, n in enumerate(lens)], SCHEMA)
+    rows = packing.pack(docs).collect()
+    assert sorted(r.length for r in rows) == sorted(lens)
+    assert 80 <= len(check(rows)) < len(packing.best_fit_decreasing(lens))

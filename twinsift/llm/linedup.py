@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift.llm import textkit as T
-from twinsift.llm.shared import cut
+from twinsift.llm.shared import cut, salted
 
 NAME = "op5_line_dedup"
 MIN_CHARS = 50
@@ -167,7 +167,7 @@ def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     salts = links.groupBy("first").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
     held = lines.select(F.col("doc_id").alias("first"), F.col("hs").alias("other"), F.col("lens").alias("sizes")).join(salts, "first")
     held = held.select("first", "other", "sizes", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    mine = links.join(salts, "first").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).join(lines, "doc_id")
+    mine = salted(links, salts, "first", "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).join(lines, "doc_id")
     both = mine.join(held, ["first", "salt"])
 
     def run(frames):

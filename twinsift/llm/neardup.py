@@ -27,14 +27,14 @@ from pyspark.sql import functions as F
 
 from twinsift.llm import textkit as T
 from twinsift.llm.components import components
-from twinsift.llm.shared import cut, drop_cut, parts
+from twinsift.llm.shared import cut, drop_cut, parts, salted
 
 NAME = "op4_minhash_near_dedup"
 
 BANDS, ROWS, BITS = 32, 5, 4
 SLACK = 0.15
 #: Members of a block, when a bucket holds several components, pairs at a time, and MB of a task's packed texts.
-BLOCK, PAIRS, TASK_MB = 2048, 200_000, 32
+BLOCK, PAIRS, TASK_MB = 2048, 200_000, 4
 
 _N = BANDS * ROWS
 _A = (T.mix(np.arange(1, _N + 1, dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.uint32) | np.uint32(1)
@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sizes = named.groupBy("key", "component").agg(F.count("*").alias("n"))
     open_ = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("component", "n").alias("largest"), F.sum("n").alias("total"), F.max("n").alias("most")).where("kinds > 1")
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    rows = named.join(open_, "key").withColumns({"nx": blocks(F.col("total") - F.col("most")), "ny": blocks(F.col("total"))})
+    rows = salted(named, open_, "key", "id").where("kinds > 1").withColumns({"nx": blocks(F.col("total") - F.col("most")), "ny": blocks(F.col("total"))})
     dealt = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)).cast("int"))
     every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     side = lambda role, x, y: rows.select("id", "key", "component", "largest", F.lit(role).alias("role"), x.alias("bx"), y.alias("by"))

@@ -4,8 +4,8 @@ Pieces are dealt at random into groups of about GROUP pieces. ISLANDS islands wo
 population of packings. Crossover injects whole well-filled bins of one parent into the other, drops the bins that
 then hold a document twice, swaps documents displaced by that into bins that they fill better, and best-fits the rest;
 mutation does so with the emptiest bins. After each epoch every island hands its best packing to the next one of its group.
-An island stops as soon as it meets the lower bound on bins, which best-fit decreasing alone often does, or after STALL
-generations without a bin less. Bins that stay loosely filled are opened again and their pieces pooled over the
+An island stops as soon as it meets the lower bound on bins, or after STALL generations without a bin less; groups in which
+best-fit decreasing meets that bound, and so can't be beaten, need no islands. Bins that stay loosely filled are opened again and their pieces pooled over the
 groups, level after level, so that groups cost next to nothing in bins.
 
 Token ids never leave the Python worker unless asked for: a piece is its length and checksum. Where the tokenizer's file says
@@ -290,13 +290,18 @@ def best_fit_decreasing(lens: list[int], capacity: int = CAPACITY) -> list[list[
     return out.bins
 
 
+def lower_bound(lens, capacity: int = CAPACITY) -> int:
+    """Bins that any packing needs: for the sum, and one for each piece over half a bin."""
+    return max(-(-int(sum(lens)) // capacity), sum(2 * int(n) > capacity for n in lens))
+
+
 def evolve(lens: list[int], seed: int, guests=(), capacity: int = CAPACITY, stall: int = STALL, population: int = POPULATION) -> list[list[int]]:
     """One island's epoch: the best packing that it finds, as lists of positions in lens. It ends at the lower bound on bins, or
     after `stall` generations in a row without a bin less."""
     if not lens:
         return []
     rng = random.Random(seed)
-    bound = max(-(-sum(lens) // capacity), sum(2 * n > capacity for n in lens))
+    bound = lower_bound(lens, capacity)
     pool = [g for g in guests if g]
     if not pool:
         pool.append(best_fit_decreasing(lens, capacity))
@@ -331,16 +336,32 @@ def _as_list(numbers) -> list[list[int]]:
     return list(bins.values())
 
 
+def _numbers(bins: list[list[int]], n: int) -> np.ndarray:
+    out = np.zeros(n, np.int32)
+    for b, items in enumerate(bins):
+        out[items] = b
+    return out
+
+
+def _first(capacity: int):
+    def run(frames):
+        for f in frames:
+            out = []
+            for g, lens in zip(f.g, f.lens, strict=True):
+                bins = best_fit_decreasing([int(x) for x in lens], capacity)
+                out.append((g, lens, _numbers(bins, len(lens)), len(bins), lower_bound(lens, capacity)))
+            yield pd.DataFrame(out, columns=["g", "lens", "mine", "n", "bound"])
+
+    return run
+
+
 def _epoch(capacity: int):
     def run(frames):
         for f in frames:
             out = []
             for g, r, lens, mine, guest in zip(f.g, f.r, f.lens, f.mine, f.guest, strict=True):
                 bins = evolve([int(x) for x in lens], int(g) * ISLANDS + int(r), [_as_list(x) for x in (mine, guest) if x is not None], capacity)
-                number = np.zeros(len(lens), np.int32)
-                for b, items in enumerate(bins):
-                    number[items] = b
-                out.append((g, r, lens, number, len(bins)))
+                out.append((g, r, lens, _numbers(bins, len(lens)), len(bins)))
             yield pd.DataFrame(out, columns=["g", "r", "lens", "mine", "n"])
 
     return run
@@ -376,21 +397,23 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         groups = -(-n // GROUP)
         items = left.groupBy(F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(groups)).alias("g")).agg(F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("l"), "rid"))).alias("x"))
         items = cut(items.select("g", F.transform("x", lambda x: x["rid"]).alias("rids"), F.transform("x", lambda x: (-x["l"]).cast("int")).alias("lens")))
-        none = F.lit(None).cast("array<int>")
-        islands = items.select("g", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("r"), "lens").withColumns({"mine": none, "guest": none})
-        for epoch in range(EPOCHS):
-            before = islands
-            if epoch:
-                guests = islands.select("g", F.pmod(F.col("r") + 1, F.lit(ISLANDS)).alias("r"), F.col("mine").alias("guest"))
-                islands = islands.join(guests, ["g", "r"])
-            # a task for each island, however small they are, up to TASKS
-            dealt = islands.select("g", "r", "lens", "mine", "guest").repartition(min(groups * ISLANDS, TASKS), "g", "r")
-            islands = cut(dealt.mapInPandas(_epoch(capacity), "g long, r int, lens array<int>, mine array<int>, n long"))
-            if epoch:
-                drop_cut(before)
-        best = islands.groupBy("g").agg(F.min_by("mine", F.struct("n", "r")).alias("mine"))
+        # best-fit decreasing first: groups whose packing meets the lower bound on bins are done
+        start = cut(items.select("g", "lens").repartition(min(groups, TASKS), "g").mapInPandas(_first(capacity), "g long, lens array<int>, mine array<int>, n long, bound long"))
+        islands = start.where("n > bound").select("g", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("r"), "lens", "mine", F.lit(None).cast("array<int>").alias("guest"), "n")
+        best, done_with = start.select("g", "n", F.lit(-1).alias("r"), "mine"), [items, start]
+        if not islands.isEmpty():
+            for epoch in range(EPOCHS):
+                if epoch:
+                    guests = islands.select("g", F.pmod(F.col("r") + 1, F.lit(ISLANDS)).alias("r"), F.col("mine").alias("guest"))
+                    islands = islands.drop("guest").join(guests, ["g", "r"])
+                # a task for each island, however small they are, up to TASKS
+                dealt = islands.select("g", "r", "lens", "mine", "guest").repartition(min(groups * ISLANDS, TASKS), "g", "r")
+                islands = cut(dealt.mapInPandas(_epoch(capacity), "g long, r int, lens array<int>, mine array<int>, n long"))
+                done_with.append(islands)
+            best = best.unionAll(islands.select("g", "n", "r", "mine"))
+        best = best.groupBy("g").agg(F.min_by("mine", F.struct("n", "r")).alias("mine"))
         placed = cut(items.join(best, "g").select("g", "rids", "lens", "mine").mapInPandas(_places(capacity), "g long, rid long, length long, bin long, offset long, load long"))
-        drop_cut(items, islands)
+        drop_cut(*done_with)
         loose = placed.where(F.col("load") < LOOSE * capacity)
         more = loose.count() if groups > 1 else 0
         last = groups == 1 or more == 0 or more > 0.7 * n
