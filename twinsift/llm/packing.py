@@ -401,13 +401,14 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
         start = cut(items.select("g", "lens").repartition(min(groups, TASKS), "g").mapInPandas(_first(capacity), "g long, lens array<int>, mine array<int>, n long, bound long"))
         islands = start.where("n > bound").select("g", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("r"), "lens", "mine", F.lit(None).cast("array<int>").alias("guest"), "n")
         best, done_with = start.select("g", "n", F.lit(-1).alias("r"), "mine"), [items, start]
-        if not islands.isEmpty():
+        tasks = min(islands.count(), TASKS)
+        if tasks:
             for epoch in range(EPOCHS):
                 if epoch:
                     guests = islands.select("g", F.pmod(F.col("r") + 1, F.lit(ISLANDS)).alias("r"), F.col("mine").alias("guest"))
                     islands = islands.drop("guest").join(guests, ["g", "r"])
                 # a task for each island, however small they are, up to TASKS
-                dealt = islands.select("g", "r", "lens", "mine", "guest").repartition(min(groups * ISLANDS, TASKS), "g", "r")
+                dealt = islands.select("g", "r", "lens", "mine", "guest").repartition(tasks, "g", "r")
                 islands = cut(dealt.mapInPandas(_epoch(capacity), "g long, r int, lens array<int>, mine array<int>, n long"))
                 done_with.append(islands)
             best = best.unionAll(islands.select("g", "n", "r", "mine"))
