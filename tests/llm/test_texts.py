@@ -110,6 +110,7 @@ def test_near_duplicates(spark, k):
 def test_near_duplicates_two_families_in_tiles(spark, monkeypatch):
     """Two families that share bands but no link, in blocks of a few members."""
     monkeypatch.setattr(neardup, "BLOCK", 7)
+    monkeypatch.setattr(neardup, "HELD", 5)
     r = random.Random(6)
     base = [f"w{r.randrange(10**6)}" for _ in range(100)]
     docs = []

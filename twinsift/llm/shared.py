@@ -61,9 +61,9 @@ def trimmed(c):
 SALTS = 16
 
 
-def salted(rows: DataFrame, table: DataFrame, key: str, spread) -> DataFrame:
-    """rows left-joined with table, which has each key once. Rows of a hot key, or of none, are dealt over SALTS tasks by a hash
+def salted(rows: DataFrame, table: DataFrame, key: str | list[str], spread) -> DataFrame:
+    """rows left-joined with table, which has each key (one column or several) once. Rows of a hot key, or of none, are dealt over SALTS tasks by a hash
     of `spread`, a column; table is copied as often."""
     salt = F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")
     copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", salt).join(copies, [key, "_salt"], "left").drop("_salt")
+    return rows.withColumn("_salt", salt).join(copies, [*([key] if isinstance(key, str) else key), "_salt"], "left").drop("_salt")
