@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsift import encode, sinks
-from twinsift.functions.vectors import as_double
+from twinsift.functions.vectors import as_double, check_dimensions
 from twinsift.operators import captions, catalog, grouping, keep, reports, simjoin
 from twinsift.sources import headers, listing
 from twinsift.storage import cut
@@ -70,6 +70,7 @@ def _store(spark: SparkSession, a: argparse.Namespace, which: str) -> tuple[Data
         counts = encode.update_store(spark, manifest, root, path, a.model_id, a.force_update, a.clean_orphans, getattr(a, "batch_size", 4), a.device)
         print(", ".join(f"{k} {v}" for k, v in counts.items()))
     held = catalog.require(catalog.without_orphans(manifest, encode.read_store(spark, path, a.model_id)))
+    check_dimensions(held, "embedding")
     shape = reports.store_shape(held).first()
     print(f"{shape.n} x {shape.dim}, {reports.readable(shape.bytes)}")
     return manifest, simjoin.with_idx(held.select("rel_path", "embedding"), "rel_path", as_double(F.col("embedding")))
