@@ -164,10 +164,10 @@ def blocks(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """
     lines = _lines(docs)
     links = cut(overlaps(docs, min_chars))
-    salts = links.groupBy("first").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts"))
-    held = lines.select(F.col("doc_id").alias("first"), F.col("hs").alias("other"), F.col("lens").alias("sizes")).join(salts, "first")
-    held = held.select("first", "other", "sizes", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    mine = salted(links, salts, "first", "doc_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")).join(lines, "doc_id")
+    hubs = links.groupBy("first").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("salts")).where("salts > 1")
+    held = lines.select(F.col("doc_id").alias("first"), F.col("hs").alias("other"), F.col("lens").alias("sizes")).join(hubs, "first", "left")
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    mine = salted(links, hubs, "first", "doc_id").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"), F.lit(0))).join(lines, "doc_id")
     both = mine.join(held, ["first", "salt"])
 
     def run(frames):

@@ -170,10 +170,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) ->
     """Those pairs (id, m) whose full shingle sets have 100 * intersection >= percent * union."""
     texts = texts.select("id", "z")
     pairs = pairs.select("id", "m")
-    # a text that many others are held against is dealt over several tasks, HELD of them each
-    salts = pairs.groupBy("m").agg(F.ceil(F.count("*") / HELD).cast("int").alias("salts"))
-    held = salts.join(texts.select(F.col("id").alias("m"), F.col("z").alias("zm")), "m").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
-    left = salted(pairs, salts, "m", "id").select("id", "m", F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt")).join(texts, "id")
+    # a text that many others are held against is dealt over several tasks, HELD of them each; such texts are few
+    hubs = pairs.groupBy("m").agg(F.ceil(F.count("*") / HELD).cast("int").alias("salts")).where("salts > 1")
+    held = texts.select(F.col("id").alias("m"), F.col("z").alias("zm")).join(hubs, "m", "left")
+    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    left = salted(pairs, hubs, "m", "id").select("id", "m", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"), F.lit(0)).alias("salt")).join(texts, "id")
     both = left.join(held.select("m", "salt", "zm"), ["m", "salt"]).select("id", "m", "z", "zm")
 
     def run(frames):
@@ -257,7 +258,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sigs = cut(signatures(docs, words))
     some = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    member = salted(some.select("doc_id", "s1", "s2"), classes.where("rep < last"), ["s1", "s2"], "doc_id").where("doc_id > rep")
+    member = some.select("doc_id", "s1", "s2").join(classes.where("rep < last"), ["s1", "s2"]).where("doc_id > rep")
     member = cut(member.select("doc_id", "rep", "s1", "s2").distinct())
     reps = cut(some.join(member.select("doc_id", "s1", "s2"), ["doc_id", "s1", "s2"], "left_anti").select(F.col("doc_id").alias("id"), "bands", "sig"))
     sig = reps.select("id", "sig")

@@ -52,7 +52,7 @@ TASKS = 8192
 #: Bins filled less than this are opened again at the next level.
 LOOSE = 0.98
 #: Words that a worker remembers.
-MEMORY = 3_000_000
+MEMORY = 1_500_000
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-zà-öø-ÿß0-9]+")

@@ -111,7 +111,7 @@ def runs(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix((sums[ends] - sums[starts]) * _pow("down", len(h) + 1)[starts] + (ends - starts).astype(np.uint64))
 
 
-def batches(table: pa.Table | pa.RecordBatch, column: str, most: int = 4 << 20):
+def batches(table: pa.Table | pa.RecordBatch, column: str, most: int = 2 << 20):
     """Slices of the table whose texts have about `most` bytes each; a longer text comes alone."""
     if not table.num_rows:
         return
