@@ -49,7 +49,7 @@ def test_sql_gives_the_same_rows(spark, name):
     assert tidy(map(tuple, got.collect())) == tidy(want)
 
 
-@pytest.mark.parametrize("name", ["pairwise_matrix", "near_dup_pairs_intended", "dup_groups_compat", "move_targets", "metadata_rows"])
+@pytest.mark.parametrize("name", ["pairwise_matrix", "near_dup_pairs_intended", "dup_groups_compat", "move_targets", "move_plan_live", "metadata_rows"])
 def test_sql_of_the_other_queries(spark, name):
     test_sql_gives_the_same_rows(spark, name)
 

@@ -240,7 +240,15 @@ def move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keep.decisions(_grouped(spark, sf_dir), _files(spark, sf_dir), "largest", "trash")
 
 
-@_query()
+_ALIVE = "list_filter(ms, lambda x: NOT list_contains(w.gone, x))"
+
+
+@_query(f"""WITH RECURSIVE {_led_sql(fx.RAW, RAW_THRESHOLD)}, man AS MATERIALIZED ({fx.MANIFEST}),
+g AS MATERIALIZED (SELECT leader, list(member ORDER BY {_ORDERS['largest']}) AS ms, row_number() OVER (ORDER BY leader) AS rn FROM groups JOIN man ON member = man.idx GROUP BY leader),
+live(rn, leader, alive, gone) AS (SELECT 0::BIGINT, NULL::BIGINT, []::BIGINT[], []::BIGINT[]
+  UNION ALL SELECT g.rn, g.leader, {_ALIVE}, list_concat(w.gone, ({_ALIVE})[2:]) FROM live w JOIN g ON g.rn = w.rn + 1),
+gone AS (SELECT leader, alive[1] AS keep, unnest(alive[2:]) AS member FROM live)
+SELECT leader, m.rel_path, k.rel_path AS keep_path, 'trash/' || m.rel_path AS target FROM gone JOIN man m ON member = m.idx JOIN man k ON keep = k.idx""")
 def move_plan_live(spark: SparkSession, sf_dir: str) -> DataFrame:
     grouped = grouping.groups(simjoin.self_join(fx.raw(spark, sf_dir), RAW_THRESHOLD))
     return keep.live_decisions(grouped, _files(spark, sf_dir), "largest", "trash")
