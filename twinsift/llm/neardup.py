@@ -166,16 +166,20 @@ def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * n >= percent * (len(x) + len(y) - n)
 
 
+def _dealt(pairs: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """pairs (id, m) and table (m once each) with a column salt to join on besides m: an m that many ids are held against is
+    dealt over several tasks, HELD ids each; such m are few, and only their rows of the table are copied."""
+    hubs = pairs.groupBy("m").agg(F.ceil(F.count("*") / HELD).cast("int").alias("salts")).where("salts > 1")
+    held = table.join(hubs, "m", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    mine = salted(pairs, hubs, "m", "id").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"), F.lit(0))).drop("salts")
+    return mine, held
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those pairs (id, m) whose full shingle sets have 100 * intersection >= percent * union."""
     texts = texts.select("id", "z")
-    pairs = pairs.select("id", "m")
-    # a text that many others are held against is dealt over several tasks, HELD of them each; such texts are few
-    hubs = pairs.groupBy("m").agg(F.ceil(F.count("*") / HELD).cast("int").alias("salts")).where("salts > 1")
-    held = texts.select(F.col("id").alias("m"), F.col("z").alias("zm")).join(hubs, "m", "left")
-    held = held.withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
-    left = salted(pairs, hubs, "m", "id").select("id", "m", F.coalesce(F.pmod(F.xxhash64("id"), F.col("salts")).cast("int"), F.lit(0)).alias("salt")).join(texts, "id")
-    both = left.join(held.select("m", "salt", "zm"), ["m", "salt"]).select("id", "m", "z", "zm")
+    left, held = _dealt(pairs.select("id", "m"), texts.select(F.col("id").alias("m"), F.col("z").alias("zm")))
+    both = left.join(texts, "id").join(held, ["m", "salt"]).select("id", "m", "z", "zm")
 
     def run(frames):
         press, last = zstandard.ZstdDecompressor(), (None, None)
@@ -258,7 +262,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sigs = cut(signatures(docs, words))
     some = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
-    member = some.select("doc_id", "s1", "s2").join(classes.where("rep < last"), ["s1", "s2"]).where("doc_id > rep")
+    # a class may hold a third of all rows, and AQE splits no join whose partitioning the next step needs
+    member = salted(some.select("doc_id", "s1", "s2"), classes.where("rep < last"), ["s1", "s2"], "doc_id").where("doc_id > rep")
     member = cut(member.select("doc_id", "rep", "s1", "s2").distinct())
     reps = cut(some.join(member.select("doc_id", "s1", "s2"), ["doc_id", "s1", "s2"], "left_anti").select(F.col("doc_id").alias("id"), "bands", "sig"))
     sig = reps.select("id", "sig")
@@ -269,7 +274,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     star = band.groupBy("key").agg(F.min("id").alias("m"), F.max("id").alias("last"), F.count("*").alias("n")).where("m < last")
     shared = cut(band.join(star.select("key", "m", "n"), "key").select("id", "key", "m", "n"))
     pairs = shared.where("id > m").select("id", "m").distinct()
-    scored = pairs.join(sig, "id").join(sig.select(F.col("id").alias("m"), F.col("sig").alias("sm")), "m").select("id", "m", _estimate(F.col("sig"), F.col("sm")).alias("est")).where(F.col("est") >= least)
+    left, held = _dealt(pairs, sig.select(F.col("id").alias("m"), F.col("sig").alias("sm")))
+    scored = left.join(sig, "id").join(held, ["m", "salt"]).select("id", "m", _estimate(F.col("sig"), F.col("sm")).alias("est")).where(F.col("est") >= least)
     scored = cut(scored.groupBy("id", "m").agg(F.max("est").alias("est")))
 
     some_reps = reps.join(shared.select("id").distinct(), "id", "left_semi")
