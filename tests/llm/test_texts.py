@@ -222,6 +222,7 @@ def test_patience_matches_plain_recursion():
 
 def test_line_dedup_deals_a_hot_first_document(spark, monkeypatch):
     monkeypatch.setattr(linedup, "PARTNERS", 3)
+    monkeypatch.setattr(linedup, "HOLDERS", 3)
     block = "a line that many documents hold and that is long\nand another one of them"
     docs = {i: f"{block}\nown {i}" for i in range(40)}
     got = {x.doc_id: (x.text, x.n_partners) for x in linedup.dedup_lines(frame(spark, list(docs.items()))).collect()}

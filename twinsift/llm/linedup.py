@@ -38,6 +38,8 @@ NAME = "op5_line_dedup"
 MIN_CHARS = 50
 #: Later documents of one first document that a task aligns.
 PARTNERS = 2048
+#: Holders of one window that a task joins with its first.
+HOLDERS = 4096
 
 
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -153,7 +155,12 @@ def overlaps(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     # a row for each document and window
     each = _lines(docs).mapInArrow(run, "doc_id long, h long").distinct()
     held = each.groupBy("h").agg(F.min("doc_id").alias("first"), F.count("*").alias("df")).where("df > 1")
-    hits = each.join(held, "h").where("doc_id > first")
+    # a window that many documents hold is dealt over several tasks, HOLDERS rows each; such windows are few
+    salts = F.ceil(F.col("df") / HOLDERS).cast("int")
+    hot = held.where(F.col("df") > HOLDERS).select("h", salts.alias("salts"))
+    mine = salted(each, hot, "h", "doc_id").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int"), F.lit(0)))
+    dealt = held.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    hits = mine.join(dealt, ["h", "salt"]).where("doc_id > first")
     return hits.groupBy("doc_id", "first").agg(F.sum(1 / F.col("df")).alias("rarity"))
 
 
