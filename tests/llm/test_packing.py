@@ -64,6 +64,33 @@ def test_ids_on_table(spark):
     assert len(by) <= -(-total // packing.CAPACITY) * 1.05 + 1
 
 
+def test_memory_of_long_words_is_bounded(monkeypatch):
+    """Texts without white space are words of their own: the ids that a worker remembers are bounded, not only the words."""
+    monkeypatch.setattr(packing, "ROOM", 20_000, raising=False)
+    words = packing._reader(packing.default_tokenizer())
+    t = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
+    for i in range(60):
+        texts = [f"日本語{i}" * 500 + f" word{i} the", f"x{i}-" * 300]
+        raw = [x.encode() for x in texts]
+        ids, at = words.of(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+        want = [t.encode(x, add_special_tokens=False).ids + [0] for x in texts]
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want
+        assert words.ids.nbytes <= 4 * 100_000
+
+
+def test_words_are_found_again_in_either_table(monkeypatch):
+    """Learnt last, merged into the large table, or forgotten in between: the ids stay those of the tokenizer."""
+    monkeypatch.setattr(packing, "LATE", 7)
+    monkeypatch.setattr(packing, "MEMORY", 60)
+    words = packing._reader(packing.default_tokenizer())
+    t = tokenizers.Tokenizer.from_file(packing.default_tokenizer())
+    for i in range(40):
+        raw = " ".join(f"w{j * j % 97}" for j in range(i, i + 12)).encode()
+        ids, _ = words.of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        assert ids.tolist() == t.encode(raw.decode(), add_special_tokens=False).ids + [0]
+        assert len(words.words[0]) + len(words.late[0]) <= 60
+
+
 def test_repeated_rows_nulls_and_empty(spark):
     docs = spark.createDataFrame([(1, "same text", None)] * 5 + [(None, "no id", None)], SCHEMA)
     rows = packing.pack(docs).collect()

@@ -51,8 +51,13 @@ TRIES = 64
 TASKS = 8192
 #: Bins filled less than this are opened again at the next level.
 LOOSE = 0.98
-#: Words that a worker remembers.
+#: Words that a worker remembers, and ids of theirs: where white space is rare, a word is a whole text.
 MEMORY = 1_500_000
+ROOM = 8_000_000
+#: Words learnt last, kept apart, so that the large table is seldom written anew.
+LATE = 100_000
+#: Bytes of texts that a worker takes at once.
+PART = 1 << 19
 
 _PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^\sa-zà-öø-ÿß0-9]+")
@@ -102,10 +107,9 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.zeros(0, np.uint64)
-        self.start = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(1, np.uint32)  # the end of a document
+        self.words = self.late = (np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32))
+        self.ids = np.zeros(1 << 16, np.uint32)  # at 0 the end of a document
+        self.used = 1
 
     def encode(self, word: bytes) -> list[int]:
         s = word.decode("utf-8", "replace")
@@ -117,29 +121,47 @@ class _Words:
             out += [t.id for t in self.model.tokenize(p)]
         return out
 
-    def learn(self, keys: np.ndarray, words: list[bytes]) -> None:
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the words' ids begin, how many they are, and which words aren't known."""
+        start, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        new = np.ones(len(keys), bool)
+        for known, s, c in (self.words, self.late):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                start[hit], count[hit] = s[at[hit]], c[at[hit]]
+                new &= ~hit
+        return start, count, np.flatnonzero(new)
+
+    def learn(self, keys: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Adds words; keys are sorted."""
         lists = [self.encode(w) for w in words]
         count = np.fromiter(map(len, lists), np.int64, len(lists))
-        start = len(self.ids) + np.cumsum(count) - count
-        self.ids = np.concatenate([self.ids, np.fromiter((x for one in lists for x in one), np.uint32, int(count.sum()))])
-        at = np.searchsorted(self.keys, keys)
-        self.keys, self.start, self.count = (np.insert(a, at, b) for a, b in ((self.keys, keys), (self.start, start), (self.count, count)))
+        ends = self.used + np.cumsum(count)
+        if ends[-1] > len(self.ids):
+            more = np.empty(max(int(ends[-1]), 2 * len(self.ids)), np.uint32)
+            more[: self.used] = self.ids[: self.used]
+            self.ids = more
+        self.ids[self.used : ends[-1]] = np.fromiter((x for one in lists for x in one), np.uint32, int(count.sum()))
+        self.used = int(ends[-1])
+        merge = lambda into, rows: tuple(np.insert(x, np.searchsorted(into[0], rows[0]), y) for x, y in zip(into, rows, strict=True))
+        self.late = merge(self.late, (keys, ends - count, count))
+        if len(self.late[0]) > LATE:
+            self.words, self.late = merge(self.words, self.late), tuple(x[:0] for x in self.late)
+        return ends - count, count
 
     def of(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts, each with id 0 at its end, and where each text's begin."""
         s, e, docs = T.bounds(buf, off)
         h, first, inverse = np.unique(T.hashes(buf, s, e), return_index=True, return_inverse=True)
-        if len(self.keys) + len(h) > MEMORY:
+        if len(self.words[0]) + len(self.late[0]) + len(h) > MEMORY or self.used > ROOM:
             self.clear()
-        at = np.minimum(np.searchsorted(self.keys, h), max(0, len(self.keys) - 1))
-        new = np.flatnonzero(self.keys[at] != h) if len(self.keys) else np.arange(len(h))
+        start, count, new = self.find(h)
         if len(new):
             raw = buf.tobytes()
-            self.learn(h[new], [raw[s[i] : e[i]] for i in first[new]])
-            at = np.searchsorted(self.keys, h)
-        start = np.insert(self.start[at][inverse], docs[1:], 0)
-        count = np.insert(self.count[at][inverse], docs[1:], 1)
+            start[new], count[new] = self.learn(h[new], [raw[s[i] : e[i]] for i in first[new]])
+        start = np.insert(start[inverse], docs[1:], 0)
+        count = np.insert(count[inverse], docs[1:], 1)
         ends = np.cumsum(count)
         ids = self.ids[np.arange(ends[-1]) + np.repeat(start - ends + count, count)]
         return ids, np.concatenate([[0], ends[docs[1:] + np.arange(len(off) - 1)]])
@@ -165,7 +187,7 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAP
             _words[path] = _reader(path)
         words = _words[path]
         for whole in batches:
-            for part in T.batches(whole, "text"):
+            for part in T.batches(whole, "text", PART):
                 tokens, at = words.of(*T.flat(part.column("text")))
                 size = np.diff(at)
                 n = -(-size // capacity)
@@ -347,10 +369,10 @@ def _first(capacity: int):
     def run(frames):
         for f in frames:
             out = []
-            for g, lens in zip(f.g, f.lens, strict=True):
+            for g, rids, lens in zip(f.g, f.rids, f.lens, strict=True):
                 bins = best_fit_decreasing([int(x) for x in lens], capacity)
-                out.append((g, lens, _numbers(bins, len(lens)), len(bins), lower_bound(lens, capacity)))
-            yield pd.DataFrame(out, columns=["g", "lens", "mine", "n", "bound"])
+                out.append((g, rids, lens, _numbers(bins, len(lens)), len(bins), lower_bound(lens, capacity)))
+            yield pd.DataFrame(out, columns=["g", "rids", "lens", "mine", "n", "bound"])
 
     return run
 
@@ -396,11 +418,11 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
     while n:
         groups = -(-n // GROUP)
         items = left.groupBy(F.pmod(F.xxhash64("rid", F.lit(level)), F.lit(groups)).alias("g")).agg(F.sort_array(F.collect_list(F.struct((-F.col("length")).alias("l"), "rid"))).alias("x"))
-        items = cut(items.select("g", F.transform("x", lambda x: x["rid"]).alias("rids"), F.transform("x", lambda x: (-x["l"]).cast("int")).alias("lens")))
+        items = items.select("g", F.transform("x", lambda x: x["rid"]).alias("rids"), F.transform("x", lambda x: (-x["l"]).cast("int")).alias("lens"))
         # best-fit decreasing first: groups whose packing meets the lower bound on bins are done
-        start = cut(items.select("g", "lens").repartition(min(groups, TASKS), "g").mapInPandas(_first(capacity), "g long, lens array<int>, mine array<int>, n long, bound long"))
+        start = cut(items.repartition(min(groups, TASKS), "g").mapInPandas(_first(capacity), "g long, rids array<long>, lens array<int>, mine array<int>, n long, bound long"))
         islands = start.where("n > bound").select("g", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("r"), "lens", "mine", F.lit(None).cast("array<int>").alias("guest"), "n")
-        best, done_with = start.select("g", "n", F.lit(-1).alias("r"), "mine"), [items, start]
+        best, done_with = start.select("g", "rids", "lens", "mine"), [start]
         tasks = min(islands.count(), TASKS)
         if tasks:
             for epoch in range(EPOCHS):
@@ -411,9 +433,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                 dealt = islands.select("g", "r", "lens", "mine", "guest").repartition(tasks, "g", "r")
                 islands = cut(dealt.mapInPandas(_epoch(capacity), "g long, r int, lens array<int>, mine array<int>, n long"))
                 done_with.append(islands)
-            best = best.unionAll(islands.select("g", "n", "r", "mine"))
-        best = best.groupBy("g").agg(F.min_by("mine", F.struct("n", "r")).alias("mine"))
-        placed = cut(items.join(best, "g").select("g", "rids", "lens", "mine").mapInPandas(_places(capacity), "g long, rid long, length long, bin long, offset long, load long"))
+            found = start.select("g", "n", F.lit(-1).alias("r"), "mine").unionAll(islands.select("g", "n", "r", "mine"))
+            best = best.drop("mine").join(found.groupBy("g").agg(F.min_by("mine", F.struct("n", "r")).alias("mine")), "g")
+        placed = cut(best.mapInPandas(_places(capacity), "g long, rid long, length long, bin long, offset long, load long"))
         drop_cut(*done_with)
         loose = placed.where(F.col("load") < LOOSE * capacity)
         more = loose.count() if groups > 1 else 0
